@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -50,11 +51,9 @@ def corpus(seed, groups=8, size=30):
     return rows
 
 
-@pytest.mark.parametrize("n,num,den,low", [(3, 9, 10, False), (5, 4, 5, False), (3, 9, 10, True), (5, 4, 5, True)])
-def test_same_components_as_brute_force(spark, monkeypatch, n, num, den, low):
-    if low:  # nearly everything is in the frequent class
-        monkeypatch.setattr(op, "FREQUENT_FROM", 3)
-    rows = corpus(n * den + low)
+@pytest.mark.parametrize("n,num,den", [(3, 9, 10), (5, 4, 5)])
+def test_same_components_as_brute_force(spark, n, num, den):
+    rows = corpus(n * den)
     assert got(spark, rows, n, num, den) == brute(rows, n, num, den)
 
 
@@ -68,20 +67,18 @@ def test_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in op.near_duplicates(df).collect()) == [(0, 0), (3, 3), (7, 3), (7, 3)]
 
 
-@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.integers(20, 400), st.integers(0, 10**6), st.sampled_from([(9, 10), (4, 5)]), st.floats(0, 1))
-def test_linked_sets_share_a_signature(n, seed, sim, share):
-    import numpy as np
-
+@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(1, 400), st.integers(0, 10**6), st.sampled_from([(9, 10), (4, 5), (1, 2)]))
+def test_linked_sets_share_a_combination(n, seed, sim):
     num, den = sim
     rng = np.random.default_rng(seed)
-    pool = np.unique(rng.integers(0, 1 << 63, n + n, dtype=np.uint64))
-    frequent = np.sort(pool[rng.random(len(pool)) < share])
-    pool = rng.permutation(pool)
-    a = pool[:n]
-    drop = rng.integers(0, n * (den - num) // den + 1)
-    add = rng.integers(0, max(1, n * (den - num) // den + 1 - drop))
-    b = np.concatenate([a[drop:], pool[n : n + add]])
-    both = len(np.intersect1d(a, b))
-    if den * both >= num * len(np.union1d(a, b)):
-        assert len(np.intersect1d(op._signatures(np.sort(a), frequent, num, den), op._signatures(np.sort(b), frequent, num, den)))
+    pool = rng.permutation(np.unique(rng.integers(0, 1 << 63, 2 * n + 4, dtype=np.uint64)))
+    a = np.sort(pool[:n])
+    most = n * (den - num) // num + 1
+    drop, add = rng.integers(0, n), rng.integers(0, most + 1)
+    for drop in {int(drop), 0, n * (den - num) // den}:
+        b = np.sort(np.concatenate([pool[drop:n], pool[n : n + add]]))
+        both = len(np.intersect1d(a, b))
+        if den * both >= num * len(np.union1d(a, b)):
+            doc, sig = op.combinations(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), num, den)
+            assert len(np.intersect1d(sig[doc == 0], sig[doc == 1]))

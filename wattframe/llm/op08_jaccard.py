@@ -1,20 +1,17 @@
-"""N-gram Jaccard join with token-combination prefixes.
+"""N-gram Jaccard join by token combinations.
 
-A document is the set of its distinct word shingles. Shingles have one global order: the rare class first, the frequent
-class after it, by hash within a class. A linked pair has a set that misses at most ``tau`` shingles of the other, so
-whatever ``tau`` shingles an adversary removes, the prefixes must still share something that is indexed:
-
-* a shingle of the rare class is indexed alone and counts 1;
-* shingles of the frequent class are dealt into sub-classes and indexed as pairs within one sub-class; ``c`` of them in
-  a sub-class count ``c - 1``, because an adversary has to remove that many before no pair is left.
-
-The prefix is extended until the counts reach ``tau + 1``. The number of sub-classes depends on a size class; documents
-are indexed for their own size class and the next, so that the two ends of a link meet. Frequencies only sort
-shingles into classes: a wrong estimate costs time and never a link.
+A document is the set of its distinct word shingles. Two linked sets differ in at most ``D`` shingles, a bound that follows
+from their sizes. The shingles are dealt into ``m > D`` classes by hash; at most ``D`` classes hold a difference, so linked
+sets agree on all shingles of at least ``U = m - D`` classes. What is indexed is the combination of all shingles that a
+document has in one class. Classes in which it has few shingles say little, and not all are needed: the ``U - 1``
+smallest go, up to ties. The largest class on which two linked sets agree survives on both sides: were it cut on one,
+all ``U`` agreeing classes would be. ``m`` depends on a size class; sizes that a link can join lie in neighbouring size
+classes, so a document is indexed for its own and the next. Small sets have one shingle in a class, or a few; in large ones a combination has about nine
+(similarity 0.9) or four (0.8), so that passages that many documents share, however frequent, bring no candidates by themselves.
 
 Links are found without enumerating the pairs of a group: documents with equal sets count once; each set is first
-verified against the one smallest member with which it shares most signatures; components are formed; and only pairs of
-one signature that lie in different components are verified after that, outliers against the rest.
+verified against the one smallest member with which it shares most combinations; components are formed; and only pairs of
+one combination that lie in different components are verified after that, outliers against the rest.
 """
 
 from __future__ import annotations
@@ -32,13 +29,8 @@ from wattframe.llm.texts import distinct_sets, mix, shingles, slabs, words
 from wattframe.operators.components import components
 from wattframe.operators.storage import drop_stored, stored
 
-#: How many of the most frequent shingles may form the frequent class (8 bytes each are sent to the workers), how often one
-#: must have been counted, and how many candidates a task reports. They decide speed only.
-FREQUENT, FREQUENT_FROM, PER_TASK = 1 << 15, 64, 4096
 #: Bits of the filter of document ids for which sets are built a second time (1 MB, whatever the input).
 FILTER_BITS = 1 << 23
-#: Size classes below this many shingles have all of them indexed alone.
-PAIRS_FROM = 24
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -48,80 +40,59 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield lo, *distinct_sets(d, v, hi - lo)
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    def count(batches):
-        seen: dict[int, int] = {}
-        for batch in batches:
-            for _, values, _ in _sets(batch.column(0), n):
-                v, c = np.unique(values, return_counts=True)
-                for x, k in zip(v[c > 1].tolist(), c[c > 1].tolist()):
-                    seen[x] = seen.get(x, 0) + k
-            if len(seen) > 64 * PER_TASK:
-                seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: 16 * PER_TASK])
-        top = sorted(seen.items(), key=lambda x: -x[1])[:PER_TASK]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([x for x, _ in top], np.uint64).view(np.int64)), pa.array([k for _, k in top], pa.int64())], ["token", "df"])
+def _size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Two sizes that a link may join are at most one class apart."""
+    return np.floor(np.log(np.maximum(n, 1)) / log(den / num) + 1e-9).astype(np.int64)
 
-    top = docs.select("text").mapInArrow(count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= FREQUENT_FROM).orderBy(F.desc("df"), "token").limit(FREQUENT).collect()
-    return np.sort(np.array([r.token for r in top], np.int64).view(np.uint64))
 
+def _differ(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """In how many shingles a set of ``n`` and one linked to it may differ at most, both sides together."""
+    return (den - num) * (n + n * den // num) // (den + num)
 
-def _size_class(n: int, num: int, den: int) -> int:
-    """Two sizes that a link may join are at most one class apart."""
-    return int(log(n) / log(den / num) + 1e-9)
-
-
-def _subclasses(size_class: int, num: int, den: int) -> int:
-    """The number of sub-classes of the frequent shingles; small enough that any set of at least PAIRS_FROM has a full prefix."""
-    least = (den / num) ** (size_class - 1)
-    return max(1, int(least * (den - num) / den) // 5)
-
-
-def _pair_signatures(frequent: np.ndarray, need: int, size_class: int, num: int, den: int) -> np.ndarray:
-    b = _subclasses(size_class, num, den)
-    bucket = (mix(frequent ^ np.uint64(0xA5A5A5A5)) % np.uint64(b)).astype(np.int64)
-    counts = np.ones(len(frequent), np.int64)
-    counts[np.unique(bucket, return_index=True)[1]] = 0
-    reached = np.flatnonzero(np.cumsum(counts) >= need)
-    end = reached[0] + 1 if len(reached) else len(frequent)
-    order = np.argsort(bucket[:end], kind="stable")
-    token, bucket = frequent[:end][order], bucket[:end][order]
-    found = []
-    for lag in range(1, end):
-        same = bucket[lag:] == bucket[:-lag]
-        if not same.any():
-            break
-        found.append(mix(token[:-lag][same] * np.uint64(0x9E3779B97F4A7C15) + mix(token[lag:][same]) + np.uint64(size_class + 1)))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
-def _signatures(values: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    n = len(values)
-    tau = n * (den - num) // den
-    common = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values if len(frequent) else np.zeros(n, bool)
-    ranked, rare = values[np.lexsort((values, common))], n - int(common.sum())
-    if rare >= tau + 1:
-        return ranked[: tau + 1]
+
+def combinations(values: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(document, signature)`` of the combinations to index, for the sets ``values[offs[d]:offs[d + 1]]``."""
+    n = np.diff(offs)
+    full = np.flatnonzero(n)
+    found = [], []
+    doc = np.repeat(np.arange(len(n)), n)
+    deal, content = mix(values ^ np.uint64(0xC2B2AE3D27D4EB4F)), mix(values + np.uint64(0x165667B19E3779F9))
+    high, low = (content >> np.uint64(32)).astype(float), (content & np.uint64(0xFFFFFFFF)).astype(float)
     own = _size_class(n, num, den)
-    found = []
-    for s in (own, own + 1):
-        if (den / num) ** s < PAIRS_FROM:
-            found.append(ranked[: tau + 1])
-        else:
-            found += [ranked[:rare], _pair_signatures(ranked[rare:], tau + 1 - rare, s, num, den)]
-    return np.concatenate(found)
+    for ahead in (0, 1):
+        scheme = own + ahead
+        m = _differ(np.floor((den / num) ** (scheme + 1.0) + 1e-6).astype(np.int64), num, den) + 1
+        m[n == 0] = 0
+        base = np.cumsum(m) - m
+        at = base[doc] + (deal % m[doc].astype(np.uint64)).astype(np.int64)
+        total = int(m.sum())
+        size = np.bincount(at, minlength=total)
+        whole = (np.bincount(at, high, total).astype(np.uint64) << np.uint64(32)) + np.bincount(at, low, total).astype(np.uint64)
+        owner = np.repeat(np.arange(len(n)), m)
+        order = np.lexsort((size, owner))
+        spare = m[full] - _differ(n[full], num, den)
+        least = np.zeros(len(n), np.int64)
+        least[full] = size[order][base[full] + spare - 1]
+        keep = size >= least[owner]
+        part = np.arange(total) - base[owner]
+        signature = mix(mix(whole + size.astype(np.uint64)) + (part.astype(np.uint64) << np.uint64(16)) + scheme[owner].astype(np.uint64))
+        found[0].append(owner[keep])
+        found[1].append(signature[keep])
+    return np.concatenate(found[0]), np.concatenate(found[1])
 
 
 def _index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    frequent = _frequent(docs, n)
-
     def index(batches):
         for batch in batches:
             ids = batch.column(0)
             for lo, values, offs in _sets(batch.column(1), n):
                 size = np.diff(offs)
-                keys = [hashlib.md5(values[a:b].tobytes()).digest() if b > a else None for a, b in zip(offs[:-1], offs[1:])]
-                sigs = [np.unique(_signatures(values[a:b], frequent, num, den)).view(np.int64) if b > a else None for a, b in zip(offs[:-1], offs[1:])]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(size)), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "sigs"])
+                keys = [hashlib.md5(values[a:b]).digest() if b > a else None for a, b in zip(offs[:-1], offs[1:])]
+                doc, sigs = combinations(values, offs, num, den)
+                order = np.argsort(doc, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(size)))])
+                sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(size)), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), sigs], ["doc_id", "key", "n_shingles", "sigs"])
 
     return docs.select("doc_id", "text").mapInArrow(index, "doc_id long, key binary, n_shingles long, sigs array<long>")
 
