@@ -31,6 +31,8 @@ from wattframe.operators.storage import drop_stored, stored
 
 #: Bits of the filter of document ids for which sets are built a second time (1 MB, whatever the input).
 FILTER_BITS = 1 << 23
+#: Bins of a sketch, and the largest set that is compared by sketch.
+BINS, SKETCHED = 128, 30_000
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -98,7 +100,7 @@ def _index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _built_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``(id, tokens)`` of the named documents. A fixed-size filter keeps most others from being built or shuffled."""
+    """``(id, tokens, sketch)`` of the named documents. A fixed-size filter keeps most others from being built or shuffled."""
     marks = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("bit"))
     words_of = marks.select((F.col("bit") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, bit % 64)").alias("m")).groupBy("word").agg(F.bit_or("m").alias("m"))
     table = np.zeros(FILTER_BITS // 64, np.int64)
@@ -114,10 +116,22 @@ def _built_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 continue
             batch = batch.take(pa.array(hit))
             for lo, values, offs in _sets(batch.column(1), n):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(offs) - 1), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values.view(np.int64)))], ["id", "tokens"])
+                size = np.diff(offs)
+                sketch = np.bincount(np.repeat(np.arange(len(size)), size) * BINS + (values % np.uint64(BINS)).astype(np.int64), minlength=len(size) * BINS).clip(max=32767).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(size)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * BINS, pa.int32()), pa.array(sketch))], ["id", "tokens", "sketch"])
 
     rows = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("bit"))
-    return rows.mapInArrow(build, "id long, tokens array<long>").join(ids, "id", "left_semi")
+    return rows.mapInArrow(build, "id long, tokens array<long>, sketch array<short>").join(ids, "id", "left_semi")
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that the sizes and sketches do not rule out. A sketch counts shingles by bin; bin by bin, two sets share at most the smaller count."""
+    small = sets.select("id", F.size("tokens").cast("long").alias("n"), "sketch")
+    both = pairs.join(small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
+    both = both.join(small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
+    both = both.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    most = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    return both.where((F.greatest("na", "nb") > SKETCHED) | (most * den >= (F.col("na") + F.col("nb") - most) * num)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -130,6 +144,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.where(F.col("shared") * den >= (F.size("ta") + F.size("tb") - F.col("shared")) * num).select("a", "b")
 
 
+def _toward(members: DataFrame, outside: bool = False) -> DataFrame:
+    """One pair ``(a, b)`` for each id ``b``: with the member ``a`` that stands for the main component of most of its combinations. With ``outside``, only for ids of other components."""
+    met = Window.partitionBy("sig")
+    centre = F.max_by(F.when(F.col("main"), F.col("id")), F.when(F.col("main"), F.struct("shares", -F.col("id")))).over(met)
+    votes = members.withColumn("a", centre).where("a <> id" + (" and not main" if outside else "")).groupBy("id", "a").count()
+    return votes.groupBy("id").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", F.col("id").alias("b"))
+
+
+def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """``sig, id, shares, c, main`` of the combinations whose members lie in several components ``c``; ``main`` is the largest."""
+    member = shared.join(label, F.col("id") == F.col("vertex"), "left").select("sig", "id", "shares", F.coalesce("component", "id").alias("c"))
+    sizes = member.groupBy("sig", "c").agg(F.count("*").alias("k"))
+    split = sizes.groupBy("sig").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("chief"), F.count("*").alias("parts")).where("parts > 1").select("sig", "chief")
+    return member.join(split, "sig").withColumn("main", F.col("c") == F.col("chief")).drop("chief")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
@@ -147,23 +177,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     equal = stored(index.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id")), "jaccard-equal")
     reps = index.where("key is not null").join(equal.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
     met = Window.partitionBy("sig")
-    shared = stored(reps.withColumn("least", F.min("id").over(met)).withColumn("most", F.max("id").over(met)).where("least < most").select("sig", "id", "least"), "jaccard-shared")
-    votes = shared.where("id <> least").groupBy("id", "least").count()
-    best = stored(votes.groupBy("id").agg(F.max_by("least", F.struct("count", -F.col("least"))).alias("a")).select("a", F.col("id").alias("b")), "jaccard-best")
-    sets = stored(_built_sets(docs, shared.select("id").distinct(), n), "jaccard-sets")
+    shared = stored(reps.withColumn("least", F.min("id").over(met)).withColumn("most", F.max("id").over(met)).where("least < most").select("sig", "id"), "jaccard-shared")
+    # A member that shares much with many is near the middle of its group: the others are verified against it first.
+    known = stored(shared.groupBy("id").agg(F.count("*").alias("shares")), "jaccard-known")
+    shared = stored(shared.join(known, "id"), "jaccard-shares")
+    best = stored(_toward(shared.select("sig", "id", "shares", F.lit(True).alias("main"))), "jaccard-best")
+    sets = stored(_built_sets(docs, known.select("id"), n), "jaccard-sets")
     links = stored(_verified(best, sets, num, den), "jaccard-links")
     label = stored(components(links, "a", "b"), "jaccard-label")
-    member = shared.join(label, F.col("id") == F.col("vertex"), "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
-    sizes = member.groupBy("sig", "c").agg(F.count("*").alias("k"))
-    split = stored(sizes.groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sig", "main"), "jaccard-split")
-    open_ = stored(member.join(split, "sig"), "jaccard-open")
-    one, two = open_.where("c <> main").select("sig", F.col("id").alias("x"), F.col("c").alias("cx")), open_.select("sig", F.col("id").alias("y"), F.col("c").alias("cy"))
-    left = one.join(two, "sig").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sure = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(_verified(left.join(sure, ["a", "b"], "left_anti"), sets, num, den), "jaccard-more")
-    if not more.isEmpty():
-        label = stored(components(links.unionByName(more), "a", "b"), "jaccard-label")
-    for x in (shared, sets, open_, split, best):
+    for last in (False, True):
+        open_ = stored(_open(shared, label), "jaccard-open")
+        if last:
+            one = open_.where("not main").select("sig", F.col("id").alias("x"), F.col("c").alias("cx"))
+            two = open_.select("sig", F.col("id").alias("y"), F.col("c").alias("cy"))
+            pairs = one.join(two, "sig").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        else:
+            pairs = _toward(open_, outside=True)
+        tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = stored(_plausible(pairs.join(tried, [F.least(pairs.a, pairs.b) == tried.a, F.greatest(pairs.a, pairs.b) == tried.b], "left_anti"), sets, num, den), "jaccard-plausible")
+        more = stored(_verified(pairs, sets, num, den), "jaccard-more")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            label = stored(components(links, "a", "b"), "jaccard-label")
+        drop_stored(open_)
+        drop_stored(pairs)
+    for x in (shared, sets, known):
         drop_stored(x)
     final = equal.join(label, F.col("id") == F.col("vertex"), "left").select("key", F.coalesce("component", "id").alias("found"))
     return index.select("doc_id", "n_shingles", "key").join(final, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
