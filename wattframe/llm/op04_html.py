@@ -327,6 +327,11 @@ def labelled_page(seed: int) -> tuple[str, list[bool]]:
             put("div", sentence(8, 60), True)
         else:
             clutter()
+    if rnd.random() < 0.15:  # the page breaks off
+        if rnd.random() < 0.5:
+            page.append("<p>" + words(1, 12))
+            truth.append(True)
+        return "".join(page), truth
     if rnd.random() < 0.25:
         box(rnd.choice(["section", "div"]), names("comment"), 1, 6, "p div li text")
     page.append(f"</{tag}>")
