@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.llm.texts import mix, slabs
+from wattframe.llm.texts import mix, slabs, tidy
 
 SLOTS = 1 << 15
 #: The bound of the sample of labelled rows, for each language, on which the model is fitted.
@@ -87,7 +87,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at)), pa.array(at), pa.array(c[at])], ["lang", "slot", "n"])
 
-    found = sample.select("lang", "text").repartition(6).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.select("lang", "text").repartition(6).mapInArrow(tidy(count), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((SLOTS, len(langs)), 0.1)
     counts[found.slot.to_numpy(int), np.searchsorted(np.array(langs), found.lang.to_numpy(str))] += found.n.to_numpy(float)
     n = np.array([sizes[k] for k in langs], float)
@@ -122,4 +122,4 @@ def identified(docs: DataFrame) -> DataFrame:
                     pick[some], score[some] = total.argmax(1)[some], (p.max(1) / p.sum(1))[some]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(names[pick].tolist(), pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", _held_out().alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", _held_out().alias("held_out"), "text").mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.llm.texts import MARKS, shingles, slabs, words
+from wattframe.llm.texts import MARKS, shingles, slabs, tidy, words
 
 SEED = 3
 #: A seed is common if it occurs in more documents than both.
@@ -98,7 +98,7 @@ def _rare(docs: DataFrame, block: Items) -> Items:
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["seed", "n"])
 
-    found = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(tidy(count), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(block.seed), np.int64)
     for r in found:
         df[r.seed] = r.n
@@ -194,7 +194,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
                         d, i, score, a, b = zip(*rows)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(d) + lo)), pa.array([rare.ids[x] for x in i], pa.int64()), pa.array(score), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(find, schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidy(find), schema))
     return out
 
 
@@ -212,5 +212,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5) -> Data
                     clean[[lo + m[0] for m in _matches(rare, h, doc, hi - lo, least)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidy(keep), docs.schema)
     return docs

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattframe.llm.texts import tidy
+
 from wattframe.operators.storage import stored
 
 TREES, BITS = 16, 64
@@ -120,7 +122,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES
             v = batch.column(0).flatten().to_numpy().reshape(len(batch), -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(strings(v, planes, longest, False).view(np.int64)), pa.list_(pa.int64()))], ["v", "ids", "keys"])
 
-    items = stored(items.mapInArrow(hashed, "v array<double>, ids array<long>, keys array<long>"), "forest-strings")
+    items = stored(items.mapInArrow(tidy(hashed), "v array<double>, ids array<long>, keys array<long>"), "forest-strings")
     part_of = (F.shiftrightunsigned("key", BITS - bits) if bits else F.lit(0).cast("long")).alias("part")
     laid = items.select("v", "ids", F.posexplode("keys").alias("tree", "key")).select("v", "ids", "tree", "key", part_of)
     sizes = laid.groupBy("tree", "part").agg(F.count("*").alias("n")).collect()  # trees x parts numbers
@@ -149,7 +151,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES
                 s = slice(lo, lo + 20_000)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(q[s])), batch.column(1).take(pa.array(q[s])), pa.array(tree[s].astype(np.int32)), pa.array(key[s].view(np.int64)), pa.array(part[s]), pa.array(narrow[s].astype(np.int32))], ["query_id", "v", "tree", "key", "part", "narrow"])
 
-    queries = clean.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).mapInArrow(asked, "query_id long, v array<double>, tree int, key long, part long, narrow int")
+    queries = clean.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).mapInArrow(tidy(asked), "query_id long, v array<double>, tree int, key long, part long, narrow int")
     queries = stored(queries, "forest-queries")
     many = queries.groupBy("tree", "part").agg(F.count("*").alias("m"))
     blocks = laid.groupBy("tree", "part").agg(F.count("*").alias("n")).join(many, ["tree", "part"]).select("tree", "part", F.ceil(F.col("n") / ITEMS).cast("int").alias("bi"), F.ceil(F.col("m") / ASKED).cast("int").alias("bq"))

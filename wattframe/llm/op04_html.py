@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wattframe.llm.texts import tidy
+
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
@@ -45,7 +47,7 @@ TOPICS = {
 _TOPIC = {w: t for t, ws in TOPICS.items() for w in ws.split()}
 _ANCESTORS = ["head", "header", "nav", "footer", "aside", "form", "article", "main", "section", "ul", "ol", "li", "table", "figure", "figcaption", "blockquote", "button", "select", "dialog", "menu", "details"]
 _PARENTS = ["p", "h1", "h2", "h3", "h4", "li", "div", "td", "th", "figcaption", "title", "a", "span", "pre", "dt", "dd", "blockquote", "section", "article", "body"]
-FEATURES = ["one", *(f"in {t}" for t in _ANCESTORS), *(f"as {t}" for t in _PARENTS), *(f"about {t}" for t in TOPICS), "in article, no topic", "in main, no topic", "hidden", "linked", "half linked", "few words", "some words", "many words", "very many words", "sentence end", "starts with mark", "digits", "capitals", "copyright", "first", "last", "after h1", "before h1", "deep"]
+FEATURES = ["one", *(f"in {t}" for t in _ANCESTORS), *(f"as {t}" for t in _PARENTS), *(f"about {t}" for t in TOPICS), "in article, no topic", "in main, no topic", "hidden", "linked", "half linked", "few words", "some words", "many words", "very many words", "sentence end", "starts with mark", "digits", "capitals", "copyright", "first", "after h1", "before h1", "deep"]
 _INDEX = {f: k for k, f in enumerate(FEATURES)}
 
 
@@ -195,8 +197,6 @@ def _features(raw: list[tuple[str, int, tuple]]) -> list[list[int]]:
             f.append("copyright")
         if k == 0:
             f.append("first")
-        if k == len(raw) - 1:
-            f.append("last")
         if h1 is not None:
             f.append("after h1" if k >= h1 else "before h1")
         if len(stack) > 8:
@@ -448,4 +448,4 @@ def extracted(pages: DataFrame) -> DataFrame:
             texts = [main_text(h, field) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(read), "page_id long, url string, text string, n_chars long")

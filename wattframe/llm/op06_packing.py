@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattframe.llm.texts import tidy
 from wattframe.llm.tokens import encoder, in_turn
 from wattframe.operators.storage import stored
 
@@ -111,7 +112,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
                 row, k, at, n, crc = map(np.array, zip(*rows))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, t) for x, t in ((k, pa.int32()), (at, pa.int64()), (n, pa.int64()), (crc, pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -137,7 +138,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             j = rank - at[:, 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(at[:, 3] + j // at[:, 2]), pa.array(at[:, 4] + j % at[:, 2] * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(tidy(put), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

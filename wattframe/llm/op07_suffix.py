@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.texts import mix, slabs
+from wattframe.llm.texts import mix, slabs, tidy
 from wattframe.operators.storage import drop_stored, stored
 
 #: Bytes of an anchor at most.
@@ -162,7 +162,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFr
             if len(hit):
                 yield batch.select([0, 1]).take(pa.array(hit))
 
-    texts = rows.select("rid", "body", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).cast("int").alias("bit")).mapInArrow(near, "rid long, body binary")
+    texts = rows.select("rid", "body", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).cast("int").alias("bit")).mapInArrow(tidy(near), "rid long, body binary")
     # Rows with equal texts have one rid: any of them serves, so the places of a text are kept once and the copies dropped by the last aggregate.
     places = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "ctx", "copies", "pos")).alias("places"))
 
@@ -178,7 +178,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFr
                 h, ctx, copies, left, piece = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), pa.array(copies, pa.int64()), pa.array(left, pa.int32()), pa.array(piece, pa.binary())], ["h", "ctx", "copies", "left", "piece"])
 
-    return texts.join(places, "rid").select("body", "places").mapInArrow(cut, "h long, ctx long, copies long, left int, piece binary")
+    return texts.join(places, "rid").select("body", "places").mapInArrow(tidy(cut), "h long, ctx long, copies long, left int, piece binary")
 
 
 def _matrix(left: np.ndarray, pieces: pa.Array, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +235,7 @@ def _counted(contexts: DataFrame, length: int, k: int) -> DataFrame:
                 at, row, col = at[ok], row[ok], col[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(h[lo + row]), pa.array(ctx[lo + row]), pa.array(col.astype(np.int32)), pa.array(hashes.of(at, at + length).view(np.int64))], ["h", "ctx", "col", "s"])
 
-    each = contexts.mapInArrow(strings, "h long, ctx long, col int, s long")
+    each = contexts.mapInArrow(tidy(strings), "h long, ctx long, col int, s long")
     twice = each.groupBy("h", "col", "s").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return each.join(twice, ["h", "col", "s"], "left_semi").groupBy("h", "ctx").agg(F.min("col").alias("first"), F.max("col").alias("last"))
 
@@ -253,7 +253,7 @@ def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
                 size = np.diff(offs)[doc] if len(doc) else doc
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(rid[lo + doc] if len(doc) else doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(size, pa.int64())], ["h", "ctx", "rid", "pos", "size"])
 
-    found = rows.select("rid", "body").mapInArrow(find, "h long, ctx long, rid long, pos long, size long")
+    found = rows.select("rid", "body").mapInArrow(tidy(find), "h long, ctx long, rid long, pos long, size long")
     same = Window.partitionBy("h")
     met = found.withColumn("n", F.count("*").over(same)).withColumn("open", F.min("ctx").over(same) != F.max("ctx").over(same)).where("n > 1")
     met = stored(met.groupBy("h", "ctx", "rid", "pos", "size", "open").agg(F.count("*").alias("rows")), "suffix-anchors")
@@ -265,7 +265,7 @@ def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
     if many:
         hot = stored(contexts.groupBy("h").count().where(F.col("count") > HOT).select("h"), "suffix-hot")
         some = contexts.join(hot, "h", "left_anti")
-    answers = some.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _sorted_groups(b, length, k), "h long, ctx long, first int, last int")
+    answers = some.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(lambda b: _sorted_groups(b, length, k)), "h long, ctx long, first int, last int")
     if many:
         answers = answers.unionByName(_counted(contexts.join(hot, "h", "left_semi").select("h", "ctx", "copies", "left", "piece"), length, k))
     whole = contexts.where("copies > 1").select("h", "ctx")
@@ -318,7 +318,7 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(b) for b in bodies], pa.int64()), pa.array([len(b) - len(x) for b, x in zip(bodies, kept)], pa.int64()), pa.array([len(s or ()) for s in spans], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     touched, clean = _divided(rows, spans)
-    out = touched.join(spans, "rid", "left").select("doc_id", "body", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = touched.join(spans, "rid", "left").select("doc_id", "body", "spans").mapInArrow(tidy(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
     return out.unionByName(clean.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("body", 256).alias("kept_sha256")))
 

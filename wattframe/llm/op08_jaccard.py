@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.texts import distinct_sets, mix, shingles, slabs, words
+from wattframe.llm.texts import distinct_sets, mix, shingles, slabs, tidy, words
 from wattframe.operators.components import components
 from wattframe.operators.storage import drop_stored, stored
 
@@ -96,7 +96,7 @@ def _index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs[order].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, len(size)), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), sigs], ["doc_id", "key", "n_shingles", "sigs"])
 
-    return docs.select("doc_id", "text").mapInArrow(index, "doc_id long, key binary, n_shingles long, sigs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(index), "doc_id long, key binary, n_shingles long, sigs array<long>")
 
 
 def _built_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -121,7 +121,7 @@ def _built_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(size)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * BINS, pa.int32()), pa.array(sketch))], ["id", "tokens", "sketch"])
 
     rows = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("bit"))
-    return rows.mapInArrow(build, "id long, tokens array<long>, sketch array<short>").join(ids, "id", "left_semi")
+    return rows.mapInArrow(tidy(build), "id long, tokens array<long>, sketch array<short>").join(ids, "id", "left_semi")
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

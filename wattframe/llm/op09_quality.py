@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.llm.texts import WHITE, mix, slabs, words
+from wattframe.llm.texts import WHITE, mix, slabs, tidy, words
 from wattframe.operators.storage import stored
 
 #: The bound of the sample of labelled rows on which the model is fitted.
@@ -179,7 +179,7 @@ def with_features(docs: DataFrame) -> DataFrame:
                 x = features(data, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(measure, "doc_id long, features array<double>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(measure), "doc_id long, features array<double>")
 
 
 def _held_out():
@@ -209,7 +209,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return measured.select("doc_id", _held_out().alias("held_out"), "features").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return measured.select("doc_id", _held_out().alias("held_out"), "features").mapInArrow(tidy(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def of_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def of_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 ok[lo:hi] = model.score(features(data, offs)) >= 0.5
             yield batch.filter(pa.array(ok))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:

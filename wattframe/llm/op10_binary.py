@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattframe.llm.texts import tidy
 from wattframe.llm.tokens import encoder, in_turn
 from wattframe.operators.storage import shared_folder
 
@@ -237,7 +238,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 0) -> None:
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(encode, _CHUNK).write.option("compression", "none").parquet(folder)
+    ordered.mapInArrow(tidy(encode), _CHUNK).write.option("compression", "none").parquet(folder)
 
 
 def read(spark, folder: str) -> DataFrame:
@@ -256,7 +257,7 @@ def read(spark, folder: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array([r["part"]] * len(ends), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["first"], pa.int64()), pa.array(r["sizes"], pa.int64()), pa.array(crc, pa.int64())], ["part", "doc_id", "local", "n_tokens", "ids_crc32"])
 
-    docs = chunks.select("part", "first", "doc_ids", "sizes", "table", "frames").mapInArrow(decode, "part int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    docs = chunks.select("part", "first", "doc_ids", "sizes", "table", "frames").mapInArrow(tidy(decode), "part int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Parts that a worker remembers (about 200 bytes each).
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 #: Marks that no pre-tokenizer rule joins to the letters before them.
 _MARKS = ".,;:!?|*#$%&"
 _ODD = re.compile("[\x1c-\x1f]")
