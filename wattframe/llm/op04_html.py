@@ -272,6 +272,9 @@ def labelled_page(seed: int) -> tuple[str, list[bool]]:
         else:
             box(rnd.choice(["section", "div"]), names("comment"), 1, 6, "p div li text")
 
+    if rnd.random() < 0.08:  # nothing but an article
+        tag, n = rnd.choice(["article", "article", "main"]), rnd.randint(1, 4)
+        return f"<{tag}>" + "".join(f"<p>{words(1, rnd.choice([4, 30]))}" for _ in range(n)), [True] * n
     page.append(f'<!DOCTYPE html><html lang="xx"><head><meta charset="utf-8"><title>{words(3, 9)}</title><style>p{{margin:0}}</style></head><body>')
     truth.append(False)
     if rnd.random() < 0.8:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattframe.llm import op01_language, op02_decontamination, op03_forest, op04_html, op05_sharding, op06_packing, op07_suffix, op08_jaccard, op09_quality
 from wattframe.llm import op10_binary as op10_binary_
+from wattframe.llm.texts import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def vocabulary(name: str) -> str:

@@ -24,6 +24,16 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(1 << 16, 0xD6E8FEB86659FD93, np.uint64))
 
 
+#: Rows that go to a Python worker together; texts may be long.
+ROWS = 1000
+
+
+def small_batches(df):
+    """``df``, in a session that sends at most ``ROWS`` rows to a Python worker at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    return df
+
+
 def tidy(f):
     """The map ``f`` over Arrow batches, giving freed memory back when a task ends: idle workers stay small."""
 
