@@ -57,6 +57,22 @@ def test_same_components_as_brute_force(spark, n, num, den):
     assert got(spark, rows, n, num, den) == brute(rows, n, num, den)
 
 
+@pytest.mark.parametrize("n,num,den,edits", [(3, 9, 10, 16), (5, 4, 5, 24)])
+def test_one_large_group_near_the_threshold(spark, n, num, den, edits):
+    """Independent edits of one text: many are linked to it, many only to each other or to nothing."""
+    rnd = random.Random(n)
+    base, rows = [f"w{rnd.randrange(5000)}" for _ in range(300)], []
+    for k in range(160):
+        copy = list(base if k % 4 or not rows else rnd.choice(rows)[1].split())
+        for _ in range(rnd.randrange(edits)):
+            at = rnd.randrange(len(copy))
+            copy[at : at + rnd.randrange(2)] = [f"x{rnd.randrange(5000)}"] * rnd.randrange(2)
+        rows.append((k + 3, " ".join(copy), "s"))
+    want = brute(rows, n, num, den)
+    assert 3 < len({c for _, c in want.values()}) < 140
+    assert got(spark, rows, n, num, den) == want
+
+
 def test_empty_table(spark):
     assert got(spark, [], 3, 9, 10) == {}
 

@@ -11,7 +11,8 @@ classes, so a document is indexed for its own and the next. Small sets have one
 
 Links are found without enumerating the pairs of a group: documents with equal sets count once; each set is first
 verified against the one smallest member with which it shares most combinations; components are formed; and only pairs of
-one combination that lie in different components are verified after that, outliers against the rest.
+one combination that lie in different components are verified after that, outliers against the rest; where outliers are
+many, by a prefix join of the members' differences from their centre.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from wattframe.operators.storage import drop_stored, stored
 
 #: Bits of the filter of document ids for which sets are built a second time (1 MB, whatever the input).
 FILTER_BITS = 1 << 23
+#: Members of a combination outside its main component that are paired with all others.
+FEW = 2
 #: Bins of a sketch, and the largest set that is compared by sketch.
 BINS, SKETCHED = 128, 30_000
 
@@ -160,6 +163,40 @@ def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
     return member.join(split, "sig").withColumn("main", F.col("c") == F.col("chief")).drop("chief")
 
 
+def _apart(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` that may still be linked: of one combination, in different components, one of them outside the main one.
+
+    Where few members are outside, each is paired with all. Elsewhere a member is written as its difference ``E`` from the
+    combination's centre ``h``: two sets differ by just as much as their differences from ``h`` do, so a linked pair has at
+    least ``o = (|Ea| + |Eb| - D) / 2`` of them in common, and the first in an order that all keep is within the first
+    ``|E| - o + 1`` of both. Copies that are edited independently have few in common, so what they all share brings no pair.
+    Two sets whose differences are disjoint can be linked only if both are linked to ``h`` (a difference is at least the
+    difference of the sizes), and the pairs with ``h`` are all returned, so one of a pair may be taken as not linked to it.
+    """
+    outside = open_.where("not main").groupBy("sig").agg(F.count("*").alias("outside"))
+    centre = open_.where("main").groupBy("sig").agg(F.max_by("id", F.struct("shares", -F.col("id"))).alias("hub"))
+    members = stored(open_.join(outside.join(centre, "sig"), "sig").select("sig", "id", "c", "main", "hub", "outside"), "jaccard-members")
+    few = members.where(F.col("outside") <= FEW)
+    one, two = few.where("not main").select("sig", F.col("id").alias("x"), F.col("c").alias("cx")), few.select("sig", F.col("id").alias("y"), F.col("c").alias("cy"))
+    pairs = one.join(two, "sig").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    around = members.where((F.col("outside") > FEW) & (F.col("id") != F.col("hub"))).select("hub", "id", "c").distinct()
+    both = around.join(sets.select(F.col("id").alias("hub"), F.col("tokens").alias("th")), "hub").join(sets.select("id", "tokens"), "id")
+    n, nh = F.size("tokens").cast("long"), F.size("th").cast("long")
+    both = both.select("hub", "id", "c", n.alias("n"), nh.alias("nh"), F.concat(F.array_except("tokens", "th"), F.array_except("th", "tokens")).alias("e"))
+    linked = F.expr(f"size(e) * {den + num} <= {den - num} * (n + nh)")
+    # A set of n differs in at most so many from any that is linked to it; of one linked to h, over |E| * num / (den + num) are common.
+    reach = F.expr(f"size(e) - size(e) * {num} div {den + num}")
+    first = F.least(F.size("e").cast("long"), F.expr(f"{den - num} * (n + n * {den} div {num}) div {den + num} + 1"), F.when(linked, reach))
+    both = stored(both.withColumn("linked", linked).select("hub", "id", "c", "n", "linked", F.size("e").cast("long").alias("k"), F.slice("e", F.lit(1), first.cast("int")).alias("e")), "jaccard-around")
+    marks = both.select("hub", "id", "c", "n", "linked", "k", F.posexplode("e").alias("at", "token"))
+    x = marks.where("not linked").select("hub", "token", *(F.col(k).alias(f"x_{k}") for k in ("id", "c", "n", "k", "at")))
+    y = marks.select("hub", "token", *(F.col(k).alias(f"y_{k}") for k in ("id", "c", "n", "k", "at", "linked")))
+    common = f"(x_k + y_k - {den - num} * (x_n + y_n) div {den + num} + 1) div 2"
+    near = x.join(y, ["hub", "token"]).where(f"x_c <> y_c and (y_linked or x_id < y_id) and least(x_n, y_n) * {den} >= greatest(x_n, y_n) * {num} and x_at + {common} <= x_k and y_at + {common} <= y_k")
+    near = near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    return pairs.unionByName(near).unionByName(both.where("linked").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
@@ -178,39 +215,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     reps = index.where("key is not null").join(equal.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
     met = Window.partitionBy("sig")
     shared = stored(reps.withColumn("least", F.min("id").over(met)).withColumn("most", F.max("id").over(met)).where("least < most").select("sig", "id"), "jaccard-shared")
+    slim = stored(index.select("doc_id", "n_shingles", "key"), "jaccard-rows")
+    drop_stored(index)
     # A member that shares much with many is near the middle of its group: the others are verified against it first.
     known = stored(shared.groupBy("id").agg(F.count("*").alias("shares")), "jaccard-known")
-    shared = stored(shared.join(known, "id"), "jaccard-shares")
+    bare, shared = shared, stored(shared.join(known, "id"), "jaccard-shares")
+    drop_stored(bare)
     best = stored(_toward(shared.select("sig", "id", "shares", F.lit(True).alias("main"))), "jaccard-best")
     sets = stored(_built_sets(docs, known.select("id"), n), "jaccard-sets")
+    drop_stored(known)
     links = stored(_verified(best, sets, num, den), "jaccard-links")
     label = stored(components(links, "a", "b"), "jaccard-label")
-    for last in (False, True):
+    for pairs_of in (lambda x: _toward(x, outside=True), lambda x: _apart(x, sets, num, den)):
         open_ = stored(_open(shared, label), "jaccard-open")
-        if last:
-            one = open_.where("not main").select("sig", F.col("id").alias("x"), F.col("c").alias("cx"))
-            two = open_.select("sig", F.col("id").alias("y"), F.col("c").alias("cy"))
-            pairs = one.join(two, "sig").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        else:
-            pairs = _toward(open_, outside=True)
         tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs_of(open_)
         pairs = stored(_plausible(pairs.join(tried, [F.least(pairs.a, pairs.b) == tried.a, F.greatest(pairs.a, pairs.b) == tried.b], "left_anti"), sets, num, den), "jaccard-plausible")
         more = stored(_verified(pairs, sets, num, den), "jaccard-more")
         if not more.isEmpty():
             links = links.unionByName(more)
+            drop_stored(label)
             label = stored(components(links, "a", "b"), "jaccard-label")
         drop_stored(open_)
         drop_stored(pairs)
-    for x in (shared, sets, known):
+    for x in (shared, sets, best, links):
         drop_stored(x)
     final = equal.join(label, F.col("id") == F.col("vertex"), "left").select("key", F.coalesce("component", "id").alias("found"))
-    return index.select("doc_id", "n_shingles", "key").join(final, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+    return slim.join(final, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those that a smaller ``doc_id`` stands for; of rows that repeat a ``doc_id`` one stays. Rows with a null ``doc_id`` stay."""
     found = near_duplicates(docs, n, num, den).where("doc_id is not null")
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_wf_id")).distinct(), "jaccard-gone")
+    drop_stored(found)
     kept = docs.join(gone, F.col("doc_id") == F.col("_wf_id"), "left_anti")
     twice = stored(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_wf_id")).agg(F.count("*").alias("n")).where("n > 1").select("_wf_id"), "jaccard-twice")
     if twice.isEmpty():
