@@ -277,6 +277,14 @@ def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
     return spans.select("rid", _merged("raw").alias("spans"))
 
 
+def _stored_spans(rows: DataFrame, length: int) -> DataFrame:
+    """:func:`repeated_spans` as a table; the anchors and contexts that it was made from go."""
+    found = repeated_spans(rows, length)
+    spans = stored(found, "suffix-spans")
+    drop_stored(found)
+    return spans
+
+
 def _merged(column: str):
     """Sorted ``(s, e)`` structs joined where they touch."""
     return F.expr(f"""aggregate({column}, cast(array() as array<struct<s: bigint, e: bigint>>), (acc, x) ->
@@ -309,7 +317,7 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     equal results. Only ``doc_id`` and ``text`` are read.
     """
     rows = _bodies(docs.select("doc_id", "text")).select("doc_id", F.col("_wf_body").alias("body"), F.col("_wf_rid").alias("rid"))
-    spans = stored(repeated_spans(rows.where(F.octet_length("body") >= length), length), "suffix-spans")
+    spans = _stored_spans(rows.where(F.octet_length("body") >= length), length)
 
     def digest(batches):
         for batch in batches:
@@ -345,7 +353,7 @@ def cut_texts(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     names = docs.columns
     rows = _bodies(docs)
-    spans = stored(repeated_spans(rows.where(F.octet_length("_wf_body") >= length).select(F.col("_wf_rid").alias("rid"), F.col("_wf_body").alias("body")), length), "suffix-spans").withColumnRenamed("rid", "_wf_rid").withColumnRenamed("spans", "_wf_spans")
+    spans = _stored_spans(rows.where(F.octet_length("_wf_body") >= length).select(F.col("_wf_rid").alias("rid"), F.col("_wf_body").alias("body")), length).withColumnRenamed("rid", "_wf_rid").withColumnRenamed("spans", "_wf_spans")
 
     @F.udf("string", useArrow=True)
     def rest(body, spans):
