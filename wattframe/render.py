@@ -5,9 +5,14 @@ from __future__ import annotations
 import csv
 import io
 import json
+import tempfile
+from functools import reduce
+
+from pyspark.sql import DataFrame
 
 from wattframe.errors import WattError
 from wattframe.plans.compiler import Result
+from wattframe.sources.cim import write_cim
 
 
 def shown(value, empty: str = "") -> str:
@@ -43,14 +48,27 @@ def to_csv(result: Result) -> str:
     return out.getvalue()
 
 
+def to_cim(*results: Result) -> str:
+    """One document of all objects that the results name, with their containers."""
+    if any("mrid" not in [c.lower() for c in r.columns] for r in results):
+        raise WattError("CIM needs the objects: a result with the column mrid")
+    chosen = reduce(DataFrame.unionByName, (r.frame.select(next(c for c in r.columns if c.lower() == "mrid")).toDF("mrid") for r in results))
+    with tempfile.TemporaryDirectory() as folder:
+        write_cim(results[0].network, f"{folder}/x", chosen)
+        with open(f"{folder}/x", encoding="utf-8") as f:
+            return f.read()
+
+
 def render(result: Result, format: str | None = None) -> str:
     kind = format or result.query.format or "table"
-    if kind not in ("table", "json", "csv"):
-        raise WattError(f"the format {kind} is not written yet")
-    return {"table": to_table, "json": to_json, "csv": to_csv}[kind](result)
+    if kind not in ("table", "json", "csv", "cim"):
+        raise WattError(f"no format is called '{kind}'")
+    return {"table": to_table, "json": to_json, "csv": to_csv, "cim": to_cim}[kind](result)
 
 
 def render_script(results: list[Result], format: str | None = None) -> str:
     if format == "json":
         return json.dumps([{"query": k + 1, "type": r.type, "rows": r.rows()} for k, r in enumerate(results)], indent=2)
+    if results and all((format or r.query.format) == "cim" for r in results):
+        return to_cim(*results)
     return "\n\n".join(f"-- {k + 1}: {r.type}\n{render(r, format)}" for k, r in enumerate(results))
