@@ -50,9 +50,9 @@ def to_csv(result: Result) -> str:
 
 def to_cim(*results: Result) -> str:
     """One document of all objects that the results name, with their containers."""
-    if any("mrid" not in [c.lower() for c in r.columns] for r in results):
-        raise WattError("CIM needs the objects: a result with the column mrid")
-    chosen = reduce(DataFrame.unionByName, (r.frame.select(next(c for c in r.columns if c.lower() == "mrid")).toDF("mrid") for r in results))
+    if any(r.objects is None for r in results):
+        raise WattError("CIM holds objects, and this result has groups")
+    chosen = reduce(DataFrame.unionByName, (r.objects for r in results))
     with tempfile.TemporaryDirectory() as folder:
         write_cim(results[0].network, f"{folder}/x", chosen)
         with open(f"{folder}/x", encoding="utf-8") as f:
