@@ -1,42 +1,44 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, compared without the case of A-Z. Every run of ``SEED`` words of a test item is a
-seed. One pass counts in how many documents each seed occurs; a seed that is far more common than its item's others is
-not used, for it says nothing about the item. A second pass finds the seeds of each passage, cuts a window around every
-chain of one item's seeds, and aligns window and item word by word. Nothing is shuffled but the counts of the seeds: the
-items go to the workers in blocks of bounded size, and each block is one pass over the documents.
+seed, however common. A pass finds the seeds of each passage and cuts a window around every chain of one item's seeds.
+A window goes if even its words that the item has, all matched, would not score enough; the others are aligned with the
+item word by word, equal ones once. Nothing is shuffled: the items go to the workers in blocks of bounded size, and each
+block is one pass over the documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wattframe.llm.texts import MARKS, shingles, slabs, tidy, words
 
 SEED = 3
-#: A seed is common if it occurs in more documents than both.
-COMMON, COMMON_TIMES = 1000, 20
 #: Words of the items that go out together (8 bytes each).
 BLOCK_WORDS = 1 << 19
 MATCH, MISMATCH, GAP = 2, -1, -1
 _TABLE = 1 << 20
+#: Words of windows that are looked at together, and alignments that a task remembers.
+_WINDOWS, _SEEN = 1 << 20, 1 << 16
 
 
 @dataclass
 class Items:
-    """A block of test items: their words, and their seeds in order of hash."""
+    """A block of test items: their words, their seeds in order of hash, the distinct words of all, and ``item * len(vocab) + word`` of each item's own."""
 
     ids: list
     words: list[np.ndarray]
     seed: np.ndarray
     item: np.ndarray
     filter: np.ndarray
+    vocab: np.ndarray
+    own: np.ndarray
 
     @staticmethod
     def of(ids: list, texts: list[str]) -> Items:
@@ -53,15 +55,11 @@ class Items:
         seed = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         item = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         order = np.argsort(seed, kind="stable")
-        return Items(kept, hashes, seed[order], item[order], np.zeros(0, bool)).filtered()
-
-    def filtered(self) -> Items:
         table = np.zeros(_TABLE, bool)
-        table[(self.seed % np.uint64(_TABLE)).astype(np.int64)] = True
-        return Items(self.ids, self.words, self.seed, self.item, table)
-
-    def without(self, drop: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.seed[~drop], self.item[~drop], self.filter).filtered()
+        table[(seed % np.uint64(_TABLE)).astype(np.int64)] = True
+        vocab, word = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_inverse=True)
+        own = np.unique(np.repeat(np.arange(len(kept)), [len(x) for x in hashes]) * len(vocab) + word)
+        return Items(kept, hashes, seed[order], item[order], table, vocab, own)
 
     def hits(self, h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(document, word, seed)``, where ``seed`` is the first of equal seeds."""
@@ -85,26 +83,30 @@ def _blocks(items: DataFrame) -> Iterator[Items]:
         yield Items.of(ids, texts)
 
 
-def _rare(docs: DataFrame, block: Items) -> Items:
-    """The block without its common seeds, counted over all documents."""
-
-    def count(batches):
-        total = np.zeros(len(block.seed), np.int64)
-        for batch in batches:
-            for lo, hi, data, offs in slabs(batch.column(0)):
-                _, _, doc, h = words(data, offs, MARKS)
-                d, _, k = block.hits(h, doc, hi - lo)
-                total += np.bincount(np.unique(k * (hi - lo) + d) // (hi - lo), minlength=len(total))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["seed", "n"])
-
-    found = docs.select("text").mapInArrow(tidy(count), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(block.seed), np.int64)
-    for r in found:
-        df[r.seed] = r.n
-    df = df[np.searchsorted(block.seed, block.seed)]
-    median = np.array([np.median(df[block.item == k]) for k in range(len(block.ids))])
-    return block.without(df > np.maximum(COMMON, COMMON_TIMES * median[block.item]))
+def _possible(block: Items, h: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
+    """Which windows ``h[lo:hi]`` can reach ``least``: a word of the item's scores ``MATCH`` at most, each other one between two matches costs a gap or a mismatch."""
+    k = np.minimum(np.searchsorted(block.vocab, h), len(block.vocab) - 1)
+    word = np.where(block.vocab[k] == h, k, -1)
+    order = np.argsort(hi - lo, kind="stable")
+    length = (hi - lo)[order]
+    out = np.zeros(len(item), bool)
+    a = 0
+    while a < len(order):
+        fit = np.arange(1, min(len(order) - a, _WINDOWS) + 1) * length[a : a + _WINDOWS] <= _WINDOWS
+        b = a + max(1, int(np.count_nonzero(fit)))
+        part = order[a:b]
+        at = lo[part][:, None] + np.arange(length[b - 1])
+        w = np.where(at < hi[part][:, None], word[np.minimum(at, len(h) - 1)], -1)
+        row, col = np.nonzero(w >= 0)
+        key = item[part][row] * len(block.vocab) + w[row, col]
+        found = block.own[np.minimum(np.searchsorted(block.own, key), len(block.own) - 1)] == key
+        gain = np.full(w.shape, max(MISMATCH, GAP), np.int32)
+        gain[row[found], col[found]] = MATCH
+        total = np.cumsum(gain, axis=1, dtype=np.int32)
+        lowest = np.minimum.accumulate(np.minimum(total - gain, 0), axis=1)
+        out[part] = (total - lowest).max(1) / (MATCH * size[item[part]]) >= least
+        a = b
+    return out
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +130,11 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
-def _matches(block: Items, h: np.ndarray, doc: np.ndarray, n_docs: int, least: float) -> list[tuple[int, int, float, int, int]]:
-    """``(document, item, score, first word, end word)`` of each document's best alignment with each item it may hold."""
+def _matches(block: Items, h: np.ndarray, doc: np.ndarray, n_docs: int, least: float, seen: dict) -> list[tuple[int, int, float, int, int]]:
+    """``(document, item, score, first word, end word)`` of each document's best alignment with each item it may hold.
+
+    ``seen`` remembers alignments by item and window, for copies.
+    """
     d, at, k = block.hits(h, doc, n_docs)
     if not len(d):
         return []
@@ -145,28 +150,39 @@ def _matches(block: Items, h: np.ndarray, doc: np.ndarray, n_docs: int, least: f
     first = np.flatnonzero(new)
     end = np.append(first[1:], len(d)) - 1
     bounds = np.searchsorted(doc, np.arange(n_docs + 1))
-    chains = []
-    for a, b in zip(first, end):
-        n, x = size[item[a]], d[a]
-        chains.append((int(x), int(item[a]), int(max(bounds[x], at[a] - n)), int(min(bounds[x + 1], at[b] + SEED + n))))
-    chains.sort(key=lambda c: (c[3] - c[2], size[c[1]]))
-    found: dict[tuple[int, int], tuple[float, int, int]] = {}
+    d, item = d[first], item[first]
+    start = np.maximum(bounds[d], at[first] - size[item])
+    stop = np.minimum(bounds[d + 1], at[end] + SEED + size[item])
+    ok = _possible(block, h, item, start, stop, size, least)
+    if len(seen) > _SEEN:
+        seen.clear()
+    places, new = [], {}
+    for x, i, lo, hi in zip(d[ok].tolist(), item[ok].tolist(), start[ok].tolist(), stop[ok].tolist()):
+        key = i, blake2b(h[lo:hi], digest_size=16).digest()
+        places.append((x, i, lo, key))
+        if key not in seen:
+            new[key] = h[lo:hi]
+    chains = sorted(new.items(), key=lambda c: (len(c[1]), size[c[0][0]]))
     lo = 0
     while lo < len(chains):
         hi = lo + 1
-        while hi < len(chains) and (hi - lo + 1) * (chains[hi][3] - chains[hi][2]) <= 1 << 17:
+        while hi < len(chains) and (hi - lo + 1) * len(chains[hi][1]) <= 1 << 17:
             hi += 1
-        part = chains[lo:hi]
+        keys, windows = zip(*chains[lo:hi])
         lo = hi
-        score, stop = align([block.words[c[1]] for c in part], [h[c[2] : c[3]] for c in part])
-        share = score / np.array([MATCH * size[c[1]] for c in part])
-        good = [k for k in range(len(part)) if share[k] >= least]
-        if not good:
-            continue
-        _, back = align([block.words[part[k][1]][::-1] for k in good], [h[part[k][2] : part[k][2] + stop[k]][::-1] for k in good])
-        for k, r in zip(good, back):
-            x, i, begin, _ = part[k]
-            row = (float(share[k]), int(begin + stop[k] - r - bounds[x]), int(begin + stop[k] - bounds[x]))
+        words_ = [block.words[i] for i, _ in keys]
+        score, ends = align(words_, list(windows))
+        share = score / np.array([MATCH * len(x) for x in words_])
+        seen.update(dict.fromkeys(keys))
+        good = np.flatnonzero(share >= least)
+        if len(good):
+            _, back = align([words_[k][::-1] for k in good], [windows[k][: ends[k]][::-1] for k in good])
+            seen.update((keys[k], (float(share[k]), int(ends[k] - r), int(ends[k]))) for k, r in zip(good, back))
+    found: dict[tuple[int, int], tuple[float, int, int]] = {}
+    for x, i, begin, key in places:
+        if seen[key]:
+            share, a, b = seen[key]
+            row = (share, int(begin + a - bounds[x]), int(begin + b - bounds[x]))
             if row > found.get((x, i), (0.0, 0, 0)):
                 found[x, i] = row
     return [(*key, *row) for key, row in found.items()]
@@ -183,16 +199,16 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items):
-        rare = _rare(docs, block)
 
-        def find(batches, rare=rare):
+        def find(batches, block=block):
+            seen = {}
             for batch in batches:
                 for lo, hi, data, offs in slabs(batch.column(1)):
                     _, _, doc, h = words(data, offs, MARKS)
-                    rows = _matches(rare, h, doc, hi - lo, least)
+                    rows = _matches(block, h, doc, hi - lo, least, seen)
                     if rows:
                         d, i, score, a, b = zip(*rows)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(d) + lo)), pa.array([rare.ids[x] for x in i], pa.int64()), pa.array(score), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "item_id", "score", "first_word", "end_word"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(d) + lo)), pa.array([block.ids[x] for x in i], pa.int64()), pa.array(score), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidy(find), schema))
     return out
@@ -202,14 +218,14 @@ def without_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5) -> Data
     """The rows of ``docs``, with all their columns, that hold no test item in the sense of :func:`leaks`. Rows pass through one worker and are not shuffled."""
     at = docs.columns.index("text")
     for block in _blocks(items):
-        rare = _rare(docs, block)
 
-        def keep(batches, rare=rare):
+        def keep(batches, block=block):
+            seen = {}
             for batch in batches:
                 clean = np.ones(len(batch), bool)
                 for lo, hi, data, offs in slabs(batch.column(at)):
                     _, _, doc, h = words(data, offs, MARKS)
-                    clean[[lo + m[0] for m in _matches(rare, h, doc, hi - lo, least)]] = False
+                    clean[[lo + m[0] for m in _matches(block, h, doc, hi - lo, least, seen)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(tidy(keep), docs.schema)
