@@ -28,3 +28,12 @@ def test_windows_of_common_words(spark):
     best = {(i, k): plain_alignment(t, d) / (2 * len(t)) for i, d in docs for k, t in items}
     assert out.items() >= {p: x for p, x in best.items() if x >= 0.8}.items()
     assert all(0.6 <= x <= best[p] for p, x in out.items()) and {(i, i % 6) for i in range(60)} <= out.keys()
+
+
+def test_case_of_all_letters(spark):
+    items = ["La société a été créée à l'été où naît l'île", "Über größere Straßen führt der schöne Weg nach Süden", "Señor Ñandú añade cigüeñas ácidas él sólo", "Ο λόγος ένας όμορφος άνθρωπος ήταν ωραίος"]
+    docs = [(k, f"123 {t.upper()} xyz") for k, t in enumerate(items)] + [(10 + k, t.lower()) for k, t in enumerate(items)] + [(20, "LA ÊTÉ"), (21, None)]
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame(list(enumerate(items)), ITEMS)
+    out = op02_decontamination.leaks(*frames).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in out) == [(k + d, k, 1.0) for d in (0, 10) for k in range(4)]
+    assert sorted(r.doc_id for r in op02_decontamination.without_leaks(*frames).collect()) == [20, 21]

@@ -1,6 +1,6 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, compared without the case of A-Z. Every run of ``SEED`` words of a test item is a
+Words are runs of letters and digits, compared without case, as Unicode folds it. Every run of ``SEED`` words of a test item is a
 seed, however common. A pass finds the seeds of each passage and cuts a window around every chain of one item's seeds.
 A window goes if even its words that the item has, all matched, would not score enough; the others are aligned with the
 item word by word, equal ones once. Nothing is shuffled: the items go to the workers in blocks of bounded size, and each
@@ -28,6 +28,15 @@ _TABLE = 1 << 20
 _WINDOWS, _SEEN = 1 << 20, 1 << 16
 
 
+def folded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A slab's bytes and offsets with the case of all letters folded; :func:`words` does so for A-Z."""
+    if not len(data) or data.max() < 128:
+        return data, offs
+    raw = data.tobytes()
+    texts = [raw[a:b].decode(errors="surrogateescape").casefold().encode(errors="surrogateescape") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
 @dataclass
 class Items:
     """A block of test items: their words, their seeds in order of hash, the distinct words of all, and ``item * len(vocab) + word`` of each item's own."""
@@ -45,7 +54,7 @@ class Items:
         kept, hashes, seeds, owner = [], [], [], []
         for i, t in zip(ids, texts):
             data = np.frombuffer((t or "").encode(), np.uint8)
-            _, _, doc, h = words(data, np.array([0, len(data)]), MARKS)
+            _, _, doc, h = words(*folded(data, np.array([0, len(data)])), MARKS)
             if len(h):
                 _, s, _ = shingles(h, doc, 1, SEED)
                 seeds.append(np.unique(s))
@@ -204,7 +213,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
             seen = {}
             for batch in batches:
                 for lo, hi, data, offs in slabs(batch.column(1)):
-                    _, _, doc, h = words(data, offs, MARKS)
+                    _, _, doc, h = words(*folded(data, offs), MARKS)
                     rows = _matches(block, h, doc, hi - lo, least, seen)
                     if rows:
                         d, i, score, a, b = zip(*rows)
@@ -224,7 +233,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5) -> Data
             for batch in batches:
                 clean = np.ones(len(batch), bool)
                 for lo, hi, data, offs in slabs(batch.column(at)):
-                    _, _, doc, h = words(data, offs, MARKS)
+                    _, _, doc, h = words(*folded(data, offs), MARKS)
                     clean[[lo + m[0] for m in _matches(block, h, doc, hi - lo, least, seen)]] = False
                 yield batch.filter(pa.array(clean))
 
