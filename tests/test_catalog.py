@@ -16,3 +16,28 @@ def test_round_trips_hold_the_whole_network(spark, monkeypatch, name):
     assert rows(seen[0]) == rows(net) and len({r[2] for r in rows(net)}) == 26
     assert len(pairs(seen[0])) == len(pairs(net))
     assert out == {r.type: r["count"] for r in net.objects.where("is_device and feeder = 'FDR-1' and mrid <> 'BRK-1'").groupBy("type").count().collect()}
+
+
+def test_validation_counts_dark_sections_with_a_generator(spark):
+    net = catalog.network(spark, SF)
+    live = {r.mrid for r in net.energy.where("energized").collect()}
+    dark = {r.mrid: r for r in net.objects.where("is_device").collect() if r.mrid not in live}
+    nodes = {}
+    for r in net.terminals.collect():
+        nodes.setdefault(r.mrid, []).append(r.node)
+    near = {}
+    for mrid, r in dark.items():
+        if not (r.is_switch and r.state == "OPEN"):
+            for n in nodes[mrid]:
+                near.setdefault(n, set()).update(nodes[mrid])
+    left, sections = {n for m in dark if m.startswith("PV-") for n in nodes[m]}, 0
+    while left:
+        todo, sections = [left.pop()], sections + 1
+        seen = set(todo)
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        left -= seen
+    out = {r.code: (r.severity, r.n) for r in catalog.queries()["validate_codes"](spark, SF).collect()}
+    assert sections and out["possible-backfeed"] == ("warning", sections)
