@@ -41,3 +41,9 @@ def test_validation_counts_dark_sections_with_a_generator(spark):
         left -= seen
     out = {r.code: (r.severity, r.n) for r in catalog.queries()["validate_codes"](spark, SF).collect()}
     assert sections and out["possible-backfeed"] == ("warning", sections)
+
+
+def test_order_desc_ends_with_every_breaker(spark):
+    out = [(r.type, r.kw) for r in catalog.queries()["order_desc_nulls_last"](spark, "/root/testdata/sf0.01").collect()]
+    kw = [k for _, k in out if k is not None]
+    assert len(kw) == 206 and kw == sorted(kw, reverse=True) and out[206:] == [("breaker", None)] * 25

@@ -74,7 +74,7 @@ _QUERIES: list[tuple[str, str, str]] = [
     ("global_agg_empty", "FIND transformers WHERE kva > 900000 SELECT COUNT(*), SUM(kva), MAX(mrid)", _sql("""SELECT count(*) AS "COUNT(*)", sum(kva) AS "SUM(kva)", max(mrid) AS "MAX(mrid)" FROM dev WHERE kva > 900000""")),
     ("group_by_two", "FIND devices SELECT substation, type, COUNT(*), SUM(kw) GROUP BY substation, type", _sql("""SELECT substation, type, count(*) AS "COUNT(*)", sum(kw) AS "SUM(kw)" FROM dev GROUP BY substation, type""")),
     ("group_default_count", "FIND devices GROUP BY state", _sql("""SELECT state, count(*) AS "COUNT(*)" FROM dev GROUP BY state""")),
-    ("order_desc_nulls_last", "FIND devices WHERE type IN (generator, breaker) ORDER BY kw DESC LIMIT 100", None),
+    ("order_desc_nulls_last", "FIND devices WHERE type IN (generator, breaker) ORDER BY kw DESC", _sql(f"SELECT {_COLS}, CAST(NULL AS double) AS voltage, state, normal_state, kind, kw, kva, CAST(NULL AS double) AS kwh FROM obj WHERE type IN ('generator', 'breaker') ORDER BY kw DESC NULLS LAST, mrid", _ALL)),
     ("order_hidden_aggregate", "FIND loads SELECT feeder GROUP BY feeder ORDER BY SUM(kw) DESC, feeder LIMIT 5", _sql("SELECT feeder FROM dev WHERE type = 'load' GROUP BY feeder ORDER BY sum(kw) DESC, feeder LIMIT 5")),
     ("limit_topk", "FIND transformers SELECT mrid, kva ORDER BY kva DESC LIMIT 20", _sql("SELECT mrid, kva FROM dev WHERE type = 'transformer' ORDER BY kva DESC, mrid LIMIT 20")),
     ("downstream_device", "FIND devices DOWNSTREAM OF 'REC-1' SELECT mrid, hops", _sql("SELECT t.mrid, t.depth - 1 AS hops FROM tree t WHERE t.mrid IN (SELECT mrid FROM up WHERE above = 'REC-1')", _TREE)),
