@@ -1,6 +1,8 @@
 import pytest
 
 from wattframe import catalog, catalog_more
+from wattframe.errors import NameProblem
+from wattframe.network import Network, normalized
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +49,11 @@ def test_order_desc_ends_with_every_breaker(spark):
     out = [(r.type, r.kw) for r in catalog.queries()["order_desc_nulls_last"](spark, "/root/testdata/sf0.01").collect()]
     kw = [k for _, k in out if k is not None]
     assert len(kw) == 206 and kw == sorted(kw, reverse=True) and out[206:] == [("breaker", None)] * 25
+
+
+def test_an_exact_mrid_wins_over_many_names(spark):
+    rows = [(f"d{k}", "x") for k in range(1500)] + [("X", "other"), ("x2", "Y"), ("x3", "y")]
+    net = Network(normalized(spark.createDataFrame(rows, "mrid string, name string").selectExpr("*", "'load' as type").coalesce(1)), spark.createDataFrame([], "mrid string, seq int, node string"), spark.createDataFrame([], "a string, b string"))
+    assert net.find("X").mrid == "X" and net.find("x").mrid == "X"
+    with pytest.raises(NameProblem):
+        net.find("y")
