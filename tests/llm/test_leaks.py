@@ -37,3 +37,10 @@ def test_case_of_all_letters(spark):
     out = op02_decontamination.leaks(*frames).collect()
     assert sorted((r.doc_id, r.item_id, r.score) for r in out) == [(k + d, k, 1.0) for d in (0, 10) for k in range(4)]
     assert sorted(r.doc_id for r in op02_decontamination.without_leaks(*frames).collect()) == [20, 21]
+
+
+def test_items_of_one_and_two_words(spark):
+    items = [(1, "Xylophone"), (2, "grey Öre"), (3, "a b c d")]
+    docs = [(1, "the xylophone rang"), (2, "some GREY ÖRE and a xylophone"), (3, "grey"), (4, "grey öre"), (5, "öre grey"), (6, "xylophone"), (7, "z a b c d z"), (8, None)]
+    out = op02_decontamination.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r.doc_id, r.item_id, r.score, r.first_word, r.end_word) for r in out) == [(1, 1, 1.0, 1, 2), (2, 1, 1.0, 5, 6), (2, 2, 1.0, 1, 3), (4, 2, 1.0, 0, 2), (6, 1, 1.0, 0, 1), (7, 3, 1.0, 1, 5)]

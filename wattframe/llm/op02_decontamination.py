@@ -72,7 +72,8 @@ class Items:
 
     def hits(self, h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(document, word, seed)``, where ``seed`` is the first of equal seeds."""
-        d, s, at = shingles(h, doc, n_docs, SEED)
+        sizes = sorted({SEED, *(len(x) for x in self.words if len(x) < SEED)})
+        d, s, at = (np.concatenate(x) for x in zip(*(shingles(h, doc, n_docs, n, False) for n in sizes)))
         near = np.flatnonzero(self.filter[(s % np.uint64(_TABLE)).astype(np.int64)]) if len(self.seed) else np.zeros(0, np.int64)
         k = np.searchsorted(self.seed, s[near])
         ok = self.seed[np.minimum(k, len(self.seed) - 1)] == s[near] if len(near) else np.zeros(0, bool)
@@ -202,8 +203,8 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
 
     ``score`` is that of the best local alignment, as a share of a full match of the item; pairs from ``least`` on are
     returned, one row per row of ``docs`` and item. A null or empty text, of a document or an item, matches nothing;
-    an item of fewer than three words is its own seed and is found where it is a whole document. Repeated rows each
-    have their matches; null ids are carried. Other columns are not read. Empty tables give an empty result.
+    an item of fewer than three words is its own seed and is found wherever its words follow each other. Repeated rows
+    each have their matches; null ids are carried. Other columns are not read. Empty tables give an empty result.
     """
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
