@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.llm.texts import tidy
-from wattframe.llm.tokens import encoder, in_turn
+from wattframe.llm.tokens import encoder
 from wattframe.operators.storage import stored
 
 CAPACITY, END = 4096, 1
 #: Pieces per bucket in which ranks are counted.
-PER_BUCKET = 20_000
+PER_BUCKET = 10_000
 
 
 class CapacityTree:
@@ -100,9 +100,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     def cut(batches):
         enc = encoder(path, spaced=False)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in in_turn(texts):
-                ids, offs = enc.encode(texts[lo:hi])
+            for lo, hi, ids, offs in enc.runs(batch.column(1)):
                 rows = []
                 for d in range(hi - lo):
                     own = np.append(ids[offs[d] : offs[d + 1]], np.uint32(end)).astype("<u4")
@@ -129,7 +127,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = np.argsort(keys)
     steps, keys = steps[order], keys[order]
     place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = dealt.withColumn("place", place).join(sizes.drop("n"), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("place") - 1)
+    ranked = dealt.withColumn("place", place).join(sizes.drop("n").hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("place") - 1)
 
     def put(batches):
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.llm.texts import tidy
-from wattframe.llm.tokens import encoder, in_turn
+from wattframe.llm.tokens import encoder
 from wattframe.operators.storage import shared_folder
 
 BLOCK, LANES = 4096, 2048
@@ -222,9 +222,8 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 0) -> None:
             return row
 
         for batch in batches:
-            texts, own = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for lo, hi in in_turn(texts):
-                ids, offs = enc.encode(texts[lo:hi])
+            own = batch.column(0).to_pylist()
+            for lo, hi, ids, offs in enc.runs(batch.column(1)):
                 size = np.diff(offs) + 1
                 whole = np.full(len(ids) + hi - lo, end, np.uint32)
                 whole[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), size - 1)] = ids

@@ -85,8 +85,8 @@ def slabs(column: pa.Array, limit: int = SLAB) -> Iterator[tuple[int, int, np.nd
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(start, end, document, hash)`` of every run of bytes outside ``white`` (ASCII white space, unless told otherwise); A-Z count as a-z in the hash."""
+def words(data: np.ndarray, offs: np.ndarray, white: np.ndarray = WHITE, folded: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(start, end, document, hash)`` of every run of bytes outside ``white`` (ASCII white space, unless told otherwise); if ``folded``, A-Z count as a-z in the hash."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -107,7 +107,7 @@ def words(data: np.ndarray, offs: np.ndarray, white: np.ndarray = WHITE) -> tupl
     doc = np.searchsorted(offs, start, "right") - 1
     place = np.arange(n, dtype=np.int64)
     place[start[0] :] -= np.repeat(start, np.diff(np.append(start, n)))
-    value = _LOWERED[data] * _POWERS[place & 0xFFFF]
+    value = (_LOWERED if folded else _BYTE)[data] * _POWERS[place & 0xFFFF]
     if place[start[0] :].max() > 0xFFFF:
         value = mix(value + (place >> 16).astype(np.uint64) * _STEP)
     value[~black] = 0

@@ -1,29 +1,41 @@
-"""Token ids of whole texts, with the ids of whole words remembered by each worker.
+"""Token ids of whole texts, with the ids of their parts remembered by each worker.
 
 A byte-level or word-level BPE never merges across the boundary between a word and the white space after it, so a text's
-ids are the ids of its parts in order. Each part is encoded by the tokenizers library once per worker and then looked up;
-the store is bounded, and parts beyond it are simply encoded again. A text with one of the few control characters that
-Python and the library class differently as white space is encoded whole.
+ids are the ids of its parts in order. Parts are found and hashed as arrays over the bytes of many texts, looked up in an
+open-addressing table of 64-bit hashes (beside the length, first and last byte of the part), and only new parts go to the
+tokenizers library, hundreds joined in one call. The table is bounded: when it is full it is emptied. With byte-level
+vocabularies a text that holds white space beyond ASCII is encoded whole, because there a run of mixed white space is not
+cut where ASCII white space begins.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-#: Parts that a worker remembers (about 200 bytes each).
-REMEMBERED = 200_000
-#: Marks that no pre-tokenizer rule joins to the letters before them.
-_MARKS = ".,;:!?|*#$%&"
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACED = re.compile(r"\s*\S+|\s+")
+from wattframe.llm.texts import LOWER, mix, slabs, words
+
+#: Parts that a worker remembers (about 50 bytes each), and how many are joined for one call of the library.
+REMEMBERED, JOINED = 1 << 20, 256
+_END = "</w>"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[tuple[str, bool], Encoder] = {}
 
 
+def _odd(data: np.ndarray) -> np.ndarray:
+    """Where white space or a separator beyond the six ASCII ones may begin; some other characters count too."""
+    found = [np.flatnonzero((data >= 0x1C) & (data <= 0x1F))]
+    for first, *then in ((0xC2, 0x85, 0xA0), (0xE1, 0x9A), (0xE2, 0x80, 0x81), (0xE3, 0x80)):
+        at = np.flatnonzero(data[:-1] == first)
+        found.append(at[np.isin(data[at + 1], then)])
+    return np.concatenate(found)
+
+
 class Encoder:
     """``spaced``: the white space before a word belongs to its part (byte-level vocabularies); else it is dropped."""
 
@@ -34,108 +46,174 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.bytes_of = None
+        # A letter of the vocabulary stands for a byte.
+        named = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of, self.closes = np.zeros(max(named.values()) + 1, np.int64), np.zeros(max(named.values()) + 1, bool)
+        for name, k in named.items():
+            self.closes[k] = name.endswith(_END)
+            self.bytes_of[k] = len(name.removesuffix(_END))
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _put(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """``start`` has one entry more than there are parts."""
+        self.count = self.used = 0
+        self.flat, self.start = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+        self._table(1 << 13)
+
+    def _table(self, slots: int) -> None:
+        self.keys, self.checks, self.number = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.int32)
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each part, or -1."""
+        found = np.full(len(key), -1, np.int32)
+        mask = np.uint64(len(self.keys) - 1)
+        slot, todo = (key & mask).view(np.int64), None
+        while len(slot):
+            there = self.keys[slot]
+            same = (there == key) & (self.checks[slot] == check)
+            hit, on = np.flatnonzero(same), np.flatnonzero(~same & (there != 0))
+            found[hit if todo is None else todo[hit]] = self.number[slot[hit]]
+            todo = on if todo is None else todo[on]
+            key, check, slot = key[on], check[on], (slot[on] + 1) & np.int64(mask)
+        return found
+
+    def _place(self, key: np.ndarray, check: np.ndarray, number: np.ndarray) -> None:
+        mask = np.int64(len(self.keys) - 1)
+        slot = (key & np.uint64(mask)).view(np.int64)
+        while len(key):
+            free = self.keys[slot] == 0
+            self.number[slot[free]] = number[free]
+            won = free & (self.number[slot] == number)
+            self.keys[slot[won]], self.checks[slot[won]] = key[won], check[won]
+            key, check, number, slot = key[~won], check[~won], number[~won], (slot[~won] + ~free[~won]) & mask
+
+    def _put(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember new parts; ``start`` has one entry more than there are parts."""
+        n = self.count + len(key)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        k = len(self.number)
-        while k + len(parts) + 1 > len(self.start):
+        while n + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k + 1 : k + 1 + len(parts)] = self.used + np.cumsum(sizes)
-        self.used += len(ids)
-        self.number.update(zip(parts, range(k, k + len(parts))))
-
-    def _learn(self, parts: list[str]) -> None:
-        """A word that ends in common punctuation is two pieces in these vocabularies: its bare form is learnt, and the ids are put together."""
-        bare = [p.rstrip(_MARKS) for p in parts]
-        cut = [k for k, (b, p) in enumerate(zip(bare, parts)) if b and b is not p and len(b) != len(p) and b[-1].isalpha()]
-        tails = {k: parts[k][len(bare[k]) :] for k in cut}
-        if cut:
-            first = list(({bare[k] for k in cut} | set(tails.values())) - self.number.keys())
-            rest = list({p for k, p in enumerate(parts) if k not in tails} - set(first))
-        else:
-            first, rest = [], parts
-        new = first + rest
-        joined = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()] if self.spaced else []
-        if joined:
-            ids, sizes = self._joined(joined)
-            self._put(joined, ids, sizes)
-            new = [p for p in new if p not in self.number]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._put(new, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
-        more = [k for k in cut if parts[k] not in self.number]
-        if more:
-            both = np.array([[self.number[bare[k]], self.number[tails[k]]] for k in more]).ravel()
-            ids, size = self._of(both)
-            self._put([parts[k] for k in more], ids, size.reshape(-1, 2).sum(1))
-
-    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Parts that begin with one space and end without, encoded as one text: ids of a byte-level vocabulary tell their bytes, and so where each part ends."""
-        if self.bytes_of is None:
-            named = sorted(self.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
-            self.bytes_of = np.zeros(named[-1][1] + 1, np.int64)
-            self.bytes_of[[k for _, k in named]] = [len(x) for x, _ in named]  # a letter of the vocabulary stands for a byte
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(["".join(parts[k : k + 256]) for k in range(0, len(parts), 256)], add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
-        ends = np.cumsum([len(p.encode()) for p in parts])
-        last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends)
-        return ids, np.diff(last + 1, prepend=0)
+        self.start[self.count + 1 : n + 1] = self.used + np.cumsum(sizes)
+        if 2 * n > len(self.keys):
+            held = np.flatnonzero(self.keys)
+            old = self.keys[held], self.checks[held], self.number[held]
+            self._table(1 << (4 * n - 1).bit_length())
+            self._place(*old)
+        self._place(key, check, np.arange(self.count, n, dtype=np.int32))
+        self.used, self.count = self.used + len(ids), n
+
+    def _one_by_one(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _joined(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts encoded as one text: ids of such vocabularies tell their bytes, and so where each part ends."""
+        between = b"" if self.spaced else b" "
+        runs = [parts[k : k + JOINED] for k in range(0, len(parts), JOINED)]
+        texts = [between.join(r).decode("utf-8", "replace") for r in runs]
+        ids, sizes = [], []
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            own = np.array(e.ids, np.uint32)
+            ends, reached = np.cumsum(list(map(len, run))), np.cumsum(self.bytes_of[own])
+            last = np.minimum(np.searchsorted(reached, ends), len(own) - 1)
+            if (reached[last] == ends).all() and last[-1] == len(own) - 1 and (self.spaced or self.closes[own[last]].all()):
+                size = np.diff(last + 1, prepend=0)
+            else:
+                own, size = self._one_by_one(run)
+            ids.append(own)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, check: np.ndarray, plain: np.ndarray) -> None:
+        raw = data.tobytes()
+        for k, encode in ((np.flatnonzero(plain), self._joined), (np.flatnonzero(~plain), self._one_by_one)):
+            if len(k):
+                self._put(key[k], check[k], *encode([raw[a:b] for a, b in zip(start[k].tolist(), end[k].tolist())]))
 
     def _of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = self.start[n + 1] - self.start[n]
+        first = self.start[n]
+        size = self.start[n + 1] - first
         ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[n] - ends + size, size)], size
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)], size
+
+    def _parts(self, data: np.ndarray, offs: np.ndarray):
+        """``start, end, document, key, check, plain`` of each part; ``plain`` parts may be joined."""
+        start, end, doc, key = words(data, offs, folded=not self.spaced)
+        first = data[start].astype(np.uint32)
+        last = data[end - 1].astype(np.uint32)
+        if not self.spaced:
+            first, last = LOWER[first].astype(np.uint32), LOWER[last].astype(np.uint32)
+            plain = None
+        else:
+            begin = offs[:-1][doc]
+            begin[1:] = np.where(doc[1:] == doc[:-1], end[:-1], begin[1:])
+            reached = offs[:-1].copy()
+            reached[doc] = end  # the last word of each document is written last
+            tail = np.flatnonzero(reached < offs[1:])
+            if len(tail):
+                order = np.argsort(np.concatenate([2 * start, 2 * offs[1:][tail] - 1]), kind="stable")
+                start, end, begin = (np.concatenate([x, y])[order] for x, y in ((start, offs[1:][tail]), (end, offs[1:][tail]), (begin, reached[tail])))
+                doc = np.concatenate([doc, tail])[order]
+                key = np.concatenate([key, np.full(len(tail), 77, np.uint64)])[order]
+                first, last = (np.concatenate([x, np.zeros(len(tail), np.uint32)])[order] for x in (first, last))
+            gap = start - begin
+            white = np.zeros(len(gap), np.uint64)
+            some = np.flatnonzero(gap)
+            white[some] = data[begin[some]].astype(np.uint64) + np.uint64(1)
+            plain = (gap == 1) & (white == 0x21) & (end > start)
+            for k in np.flatnonzero(gap > 1):
+                white[k] = np.frombuffer(hashlib.blake2b(data[begin[k] : start[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+            key = mix(key + white * _STEP)
+            start = begin
+        if plain is None:
+            high = np.concatenate([[0], np.cumsum(data >= 128)])
+            plain = high[end] == high[start]
+        key[key == 0] = 1
+        return start, end, doc, key, (end - start).astype(np.uint32) << np.uint32(16) | first << np.uint32(8) | last, plain
+
+    def _slab(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, end, doc, key, check, plain = self._parts(data, offs)
+        n = self._find(key, check)
+        miss = np.flatnonzero(n < 0)
+        while len(miss):
+            new = miss[np.unique(key[miss], return_index=True)[1]]
+            if self.count and self.count + len(new) > REMEMBERED:
+                self.forget()
+                n[:] = -1
+                miss = np.arange(len(n))
+                continue
+            self._learn(data, start[new], end[new], key[new], check[new], plain[new])
+            n[miss] = self._find(key[miss], check[miss])
+            miss = miss[n[miss] < 0]  # two parts of one hash: the second is learnt in the next turn
+        ids, size = self._of(n)
+        return ids, np.concatenate([[0], np.cumsum(np.bincount(doc, size, len(offs) - 1))]).astype(np.int64)
+
+    def runs(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``(first row, end row, ids, offsets)`` over runs of whole rows; a null counts as empty."""
+        for lo, hi, data, offs in slabs(column):
+            odd = np.unique(np.searchsorted(offs, _odd(data), "right") - 1) if self.spaced and len(data) else []
+            if not len(odd):
+                yield lo, hi, *self._slab(data, offs)
+                continue
+            ids, sizes, at = [], [], 0
+            for k in [*odd.tolist(), hi - lo]:
+                own, o = self._slab(data[offs[at] : offs[k]], offs[at : k + 1] - offs[at])
+                ids.append(own)
+                sizes.append(np.diff(o))
+                if k < hi - lo:
+                    whole = self.tokenizer.encode(data[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
+                    ids.append(np.array(whole, np.uint32))
+                    sizes.append([len(whole)])
+                at = k + 1
+            yield lo, hi, np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)`` of all texts in order; a null counts as empty."""
-        odd = [k for k, t in enumerate(texts) if t and _ODD.search(t)]
-        if odd:
-            return self._with_odd(texts, odd)
-        parts: list[str] = []
-        ends = [0]
-        for t in texts:
-            if t:
-                parts += _SPACED.findall(t) if self.spaced else t.split()
-            ends.append(len(parts))
-        n = list(map(self.number.get, parts))
-        missing = [k for k, x in enumerate(n) if x is None]
-        if missing:
-            new = {parts[k] for k in missing}
-            if len(self.number) + len(new) > REMEMBERED:
-                self.forget()
-                self._learn(list(set(parts)))
-                n = list(map(self.number.__getitem__, parts))
-            else:
-                self._learn(list(new))
-                for k in missing:
-                    n[k] = self.number[parts[k]]
-        ids, size = self._of(np.array(n, np.int64))
-        return ids, np.concatenate([[0], np.cumsum(size)])[ends].astype(np.int64)
-
-    def _with_odd(self, texts: list, odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        runs, sizes, lo = [], [], 0
-        for k in [*odd, len(texts)]:
-            ids, offs = self.encode(texts[lo:k])
-            runs.append(ids)
-            sizes += np.diff(offs).tolist()
-            if k < len(texts):
-                ids = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
-                runs.append(ids)
-                sizes.append(len(ids))
-            lo = k + 1
-        return np.concatenate(runs), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        found = list(self.runs(pa.array(texts, pa.large_string())))
+        sizes = [np.diff(o) for *_, o in found]
+        return np.concatenate([np.zeros(0, np.uint32), *(x for _, _, x, _ in found)]), np.concatenate([[0], *sizes]).cumsum().astype(np.int64)
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
@@ -143,15 +221,3 @@ def encoder(path: str, spaced: bool) -> Encoder:
     if (path, spaced) not in _loaded:
         _loaded[path, spaced] = Encoder(path, spaced)
     return _loaded[path, spaced]
-
-
-def in_turn(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of about ``most`` characters together."""
-    lo = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
