@@ -83,18 +83,43 @@ def test_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in op.near_duplicates(df).collect()) == [(0, 0), (3, 3), (7, 3), (7, 3)]
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    one, two = "a b c d e f g h", "k l m n o p q r"
+    df = spark.createDataFrame([(9, one, ""), (9, two, ""), (4, one + " i", ""), (7, two, ""), (8, None, "")], SCHEMA)
+    assert sorted((r.doc_id, r.component_id) for r in op.near_duplicates(df, 3, 4, 5).collect()) == [(4, 4), (7, 4), (8, 8), (9, 4), (9, 4)]
+
+
 @settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.integers(1, 400), st.integers(0, 10**6), st.sampled_from([(9, 10), (4, 5), (1, 2)]))
 def test_linked_sets_share_a_combination(n, seed, sim):
     num, den = sim
     rng = np.random.default_rng(seed)
     pool = rng.permutation(np.unique(rng.integers(0, 1 << 63, 2 * n + 4, dtype=np.uint64)))
-    a = np.sort(pool[:n])
+    count = rng.choice([2, 5, 8, 9, 30, 64, 65, 500], len(pool), p=rng.dirichlet(np.ones(8)))
     most = n * (den - num) // num + 1
     drop, add = rng.integers(0, n), rng.integers(0, most + 1)
     for drop in {int(drop), 0, n * (den - num) // den}:
-        b = np.sort(np.concatenate([pool[drop:n], pool[n : n + add]]))
-        both = len(np.intersect1d(a, b))
-        if den * both >= num * len(np.union1d(a, b)):
-            doc, sig = op.combinations(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), num, den)
+        a, b = np.arange(n), np.arange(drop, n + add)
+        if den * (n - drop) >= num * (n + add):
+            # Those that only one of the two has may have no other owner; such tokens are not listed.
+            lists = [x[np.isin(x, y) | (rng.random(len(x)) < rng.random())] for x, y in ((a, b), (b, a))]
+            lists = [x[np.lexsort((pool[x], count[x]))] for x in lists]
+            both, offs = np.concatenate(lists), np.array([0, len(lists[0]), len(lists[0]) + len(lists[1])])
+            doc, sig = op.combinations(pool[both], count[both], offs, np.array([len(a), len(b)]), num, den)
             assert len(np.intersect1d(sig[doc == 0], sig[doc == 1]))
+
+
+@pytest.mark.parametrize("num,den,width", [(9, 10, 3), (4, 5, 5), (1, 2, 1), (1, 10, 7)])
+def test_first_tokens(num, den, width):
+    """Of linked sets each has enough of its lowest tokens among the lowest of the other."""
+    rng = np.random.default_rng(num)
+    for _ in range(3000):
+        n = int(rng.integers(1, 120))
+        drop = int(rng.integers(0, n))
+        add = int(rng.integers(0, n * (den - num) // num + 2))
+        if den * (n - drop) >= num * (n + add):
+            pool = rng.permutation(n + add)
+            a, b = np.sort(pool[:n]), np.sort(pool[drop:])
+            first = [x[: op._missing(len(x), num, den) + op._beyond(len(x), num, den, width)] for x in (a, b)]
+            for x in (a, b):
+                assert len(np.intersect1d(*first)) >= op._beyond(-(-num * len(x) // den), num, den, width)

@@ -1,18 +1,24 @@
-"""N-gram Jaccard join by token combinations.
-
-A document is the set of its distinct word shingles. Two linked sets differ in at most ``D`` shingles, a bound that follows
-from their sizes. The shingles are dealt into ``m > D`` classes by hash; at most ``D`` classes hold a difference, so linked
-sets agree on all shingles of at least ``U = m - D`` classes. What is indexed is the combination of all shingles that a
-document has in one class. Classes in which it has few shingles say little, and not all are needed: the ``U - 1``
-smallest go, up to ties. The largest class on which two linked sets agree survives on both sides: were it cut on one,
-all ``U`` agreeing classes would be. ``m`` depends on a size class; sizes that a link can join lie in neighbouring size
-classes, so a document is indexed for its own and the next. Small sets have one shingle in a class, or a few; in large ones a combination has about nine
-(similarity 0.9) or four (0.8), so that passages that many documents share, however frequent, bring no candidates by themselves.
-
-Links are found without enumerating the pairs of a group: documents with equal sets count once; each set is first
-verified against the one smallest member with which it shares most combinations; components are formed; and only pairs of
-one combination that lie in different components are verified after that, outliers against the rest; where outliers are
-many, by a prefix join of the members' differences from their centre.
+"""N-gram Jaccard join by token-combination prefixes.
+
+A document is the set of its distinct word shingles, its tokens. All tokens have one global order: by document frequency,
+rare ones first. Of two linked sets each lacks at most ``D`` tokens of the other, a bound that follows from its size. Tokens
+are of three classes by frequency: of a rare one the token alone is indexed, of more frequent ones combinations of two or of
+three. Tokens of a frequent class are dealt into buckets by hash and combined within a bucket, so ``c`` tokens of a bucket in
+the index of ``k``-combinations can lose ``c - k`` and still leave a common combination. A prefix is extended until the sum of
+``max(0, c - k + 1)`` over its buckets exceeds ``D``. The set whose prefix ends first in the global order then shares a
+combination with every set that is linked to it. A token that one document alone has counts in the prefix and indexes nothing.
+The number of buckets depends on a class of sizes; sizes that a link may join lie in neighbouring classes, so a document is
+indexed for its own and the next.
+
+Frequencies are only counted for documents that may have a partner at all: the tokens lowest by hash, a few more than ``D``,
+are compared first, and where too few of these occur in another document there is none.
+
+Links are found without enumerating the pairs of a group: documents with equal sets count once; each set is verified against
+the set of fewest tokens of its own among those that it meets; components are formed; and for combinations that several
+components meet in, every set is written as its difference ``E`` from the tokens that most of the largest component have. Two
+sets differ in as many tokens as their differences do. So a triangle inequality tells which of them are linked whatever their
+differences are, and all of these are linked to the one nearest to the middle; it tells which are too far away; and for the rest
+how many tokens two differences must share: they are joined by prefixes of the differences, and verified.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from math import gcd, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.llm.texts import distinct_sets, mix, shingles, slabs, tidy, words
@@ -32,10 +38,8 @@ from wattframe.operators.storage import drop_stored, stored
 
 #: Bits of the filter of document ids for which sets are built a second time (1 MB, whatever the input).
 FILTER_BITS = 1 << 23
-#: Members of a combination outside its main component that are paired with all others.
-FEW = 2
-#: Bins of a sketch, and the largest set that is compared by sketch.
-BINS, SKETCHED = 128, 30_000
+#: Tokens of at most so many documents are rare, or common; the others are frequent. Combinations are of 1, 2 and 3 tokens.
+RARE, COMMON = 8, 64
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -45,66 +49,45 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield lo, *distinct_sets(d, v, hi - lo)
 
 
-def _size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Two sizes that a link may join are at most one class apart."""
-    return np.floor(np.log(np.maximum(n, 1)) / log(den / num) + 1e-9).astype(np.int64)
+def _keys(values: np.ndarray, offs: np.ndarray) -> list[bytes | None]:
+    return [hashlib.md5(values[a:b]).digest() if b > a else None for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
 
 
-def _differ(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """In how many shingles a set of ``n`` and one linked to it may differ at most, both sides together."""
-    return (den - num) * (n + n * den // num) // (den + num)
+def _lists(values: np.ndarray, offs: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def combinations(values: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(document, signature)`` of the combinations to index, for the sets ``values[offs[d]:offs[d + 1]]``."""
-    n = np.diff(offs)
-    full = np.flatnonzero(n)
-    found = [], []
-    doc = np.repeat(np.arange(len(n)), n)
-    deal, content = mix(values ^ np.uint64(0xC2B2AE3D27D4EB4F)), mix(values + np.uint64(0x165667B19E3779F9))
-    high, low = (content >> np.uint64(32)).astype(float), (content & np.uint64(0xFFFFFFFF)).astype(float)
-    own = _size_class(n, num, den)
-    for ahead in (0, 1):
-        scheme = own + ahead
-        m = _differ(np.floor((den / num) ** (scheme + 1.0) + 1e-6).astype(np.int64), num, den) + 1
-        m[n == 0] = 0
-        base = np.cumsum(m) - m
-        at = base[doc] + (deal % m[doc].astype(np.uint64)).astype(np.int64)
-        total = int(m.sum())
-        size = np.bincount(at, minlength=total)
-        whole = (np.bincount(at, high, total).astype(np.uint64) << np.uint64(32)) + np.bincount(at, low, total).astype(np.uint64)
-        owner = np.repeat(np.arange(len(n)), m)
-        order = np.lexsort((size, owner))
-        spare = m[full] - _differ(n[full], num, den)
-        least = np.zeros(len(n), np.int64)
-        least[full] = size[order][base[full] + spare - 1]
-        keep = size >= least[owner]
-        part = np.arange(total) - base[owner]
-        signature = mix(mix(whole + size.astype(np.uint64)) + (part.astype(np.uint64) << np.uint64(16)) + scheme[owner].astype(np.uint64))
-        found[0].append(owner[keep])
-        found[1].append(signature[keep])
-    return np.concatenate(found[0]), np.concatenate(found[1])
+def _missing(n, num: int, den: int):
+    """How many tokens of a set of ``n`` a set linked to it may lack."""
+    return n - -(-num * n // den)
+
+
+def _beyond(n, num: int, den: int, width: int):
+    """Tokens beyond ``_missing`` that are compared first; never fewer for a larger set. Short shingles (of ``width`` words) repeat by chance, so more of them are asked for."""
+    return np.minimum(_missing(n, num, den) * 3 // width + 1, n - _missing(n, num, den))
 
 
 def _index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``doc_id, key, mark, n_shingles, needed, first``: the tokens that are lowest by hash, and how many of them other documents must have."""
+
     def index(batches):
         for batch in batches:
-            ids = batch.column(0)
             for lo, values, offs in _sets(batch.column(1), n):
                 size = np.diff(offs)
-                keys = [hashlib.md5(values[a:b]).digest() if b > a else None for a, b in zip(offs[:-1], offs[1:])]
-                doc, sigs = combinations(values, offs, num, den)
-                order = np.argsort(doc, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(size)))])
-                sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(size)), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), sigs], ["doc_id", "key", "n_shingles", "sigs"])
+                keys = _keys(values, offs)
+                take = np.where(size > 0, _missing(size, num, den) + _beyond(size, num, den, n), 0)
+                ends = np.concatenate([[0], np.cumsum(take)])
+                first = values[np.arange(ends[-1]) + np.repeat(offs[:-1] - ends[:-1], take)]
+                marks = pa.array([k and int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64())
+                needed = _beyond(-(-num * size // den), num, den, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(size)), pa.array(keys, pa.binary()), marks, pa.array(size, pa.int64()), pa.array(needed, pa.int64()), _lists(first, ends)], ["doc_id", "key", "mark", "n_shingles", "needed", "first"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(index), "doc_id long, key binary, n_shingles long, sigs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(index), "doc_id long, key binary, mark long, n_shingles long, needed long, first array<long>")
 
 
-def _built_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``(id, tokens, sketch)`` of the named documents. A fixed-size filter keeps most others from being built or shuffled."""
-    marks = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("bit"))
+def _built_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``(node, tokens)`` of the ``wanted`` sets (``key, id, node``). A fixed-size filter of ids keeps most others from being built or shuffled."""
+    marks = wanted.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("bit"))
     words_of = marks.select((F.col("bit") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, bit % 64)").alias("m")).groupBy("word").agg(F.bit_or("m").alias("m"))
     table = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words_of.toLocalIterator():
@@ -113,88 +96,164 @@ def _built_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     def build(batches):
         for batch in batches:
-            bit = batch.column(2).to_numpy(zero_copy_only=False)
+            bit = batch.column(1).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero((table[bit >> 3] >> (bit & 7)) & 1)
             if not len(hit):
                 continue
-            batch = batch.take(pa.array(hit))
-            for lo, values, offs in _sets(batch.column(1), n):
-                size = np.diff(offs)
-                sketch = np.bincount(np.repeat(np.arange(len(size)), size) * BINS + (values % np.uint64(BINS)).astype(np.int64), minlength=len(size) * BINS).clip(max=32767).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(size)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * BINS, pa.int32()), pa.array(sketch))], ["id", "tokens", "sketch"])
+            for _, values, offs in _sets(batch.column(0).take(pa.array(hit)), n):
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(values, offs), pa.binary()), _lists(values, offs)], ["key", "tokens"])
+
+    rows = docs.where("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("bit"))
+    built = rows.mapInArrow(tidy(build), "key binary, tokens array<long>")
+    return built.join(wanted.select("key", "node"), "key").groupBy("key").agg(F.first("node").alias("node"), F.first("tokens").alias("tokens")).select("node", "tokens")
+
+
+def _size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Two sizes that a link may join are at most one class apart."""
+    return np.floor(np.log(np.maximum(n, 1)) / log(den / num) + 1e-9).astype(np.int64)
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("bit"))
-    return rows.mapInArrow(tidy(build), "id long, tokens array<long>, sketch array<short>").join(ids, "id", "left_semi")
 
+def _runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(k, j)`` for every ``k`` and every ``j < of[k]``."""
+    k = np.repeat(np.arange(len(of)), of)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(of) - of, of)
 
-def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that the sizes and sketches do not rule out. A sketch counts shingles by bin; bin by bin, two sets share at most the smaller count."""
-    small = sets.select("id", F.size("tokens").cast("long").alias("n"), "sketch")
-    both = pairs.join(small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
-    both = both.join(small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
-    both = both.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    most = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-    return both.where((F.greatest("na", "nb") > SKETCHED) | (most * den >= (F.col("na") + F.col("nb") - most) * num)).select("a", "b")
+
+def combinations(tokens: np.ndarray, counts: np.ndarray, offs: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(document, signature)`` of the combinations to index.
+
+    ``tokens[offs[d]:offs[d + 1]]`` are the tokens of document ``d`` that others have too, in the global order, ``counts`` their
+    document frequencies; the ``n[d]`` tokens of the document include those that no other has.
+    """
+    own = np.diff(offs)
+    doc = np.repeat(np.arange(len(own)), own)
+    alone, spare = n - own, _missing(n, num, den)
+    kind = 1 + (counts > RARE) + (counts > COMMON)
+    deal, content = mix(tokens ^ np.uint64(0xC2B2AE3D27D4EB4F)), mix(tokens + np.uint64(0x165667B19E3779F9))
+    size_class = _size_class(n, num, den)
+    found = []
+    for ahead in (0, 1):
+        scheme = size_class + ahead
+        # Of c tokens in m buckets at least c - (k - 1) m count: with both classes, this many buckets always leave enough.
+        least = np.maximum(1, np.floor((den / num) ** (scheme - 1.0) * (1 - 1e-6)).astype(np.int64))
+        m = (-(-num * least // den) - 1) // 3
+        k = np.where(m[doc] > 0, kind, 1)
+        at = np.where(k > 1, (np.cumsum(2 * m) - 2 * m)[doc] + (k - 2) * m[doc] + (deal % np.maximum(m, 1)[doc].astype(np.uint64)).astype(np.int64), -1)
+        order = np.argsort(at, kind="stable")
+        sorted_at = at[order]
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at)) - np.searchsorted(sorted_at, sorted_at)
+        counted = (k == 1) | (rank >= k - 1)
+        before = np.concatenate([[0], np.cumsum(counted)])
+        inside = before[:-1] - before[offs[:-1]][doc] + alone[doc] <= spare[doc]
+        salt = mix(scheme.astype(np.uint64) + np.uint64(0x27D4EB2F165667C5))
+        single = np.flatnonzero(inside & (k == 1))
+        found.append((doc[single], mix(content[single])))
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        for size in (2, 3):
+            last = np.flatnonzero(inside & (k == size))
+            i, j = _runs(rank[last])
+            last = last[i]
+            total, then = content[last], order[place[last] - 1 - j]
+            total = total + content[then]
+            if size == 3:
+                i, j = _runs(rank[then])
+                last, then, total = last[i], order[place[then[i]] - 1 - j], total[i]
+                total = total + content[then]
+            found.append((doc[last], mix(mix(total + np.uint64(size)) + salt[doc[last]])))
+    of, signature = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((signature, of))
+    of, signature = of[order], signature[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (signature[1:] != signature[:-1])
+    return of[new], signature[new]
+
+
+def _indexed(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``node, n, alone, tokens, sigs``: the tokens that other sets have too, in the global order, the number of the others, and the combinations."""
+    token = sets.select("node", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    often = token.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    owned = token.join(often, "token").groupBy("node", "n").agg(F.collect_list(F.struct("c", "token")).alias("own"))
+
+    def index(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            offs = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values
+            counts, tokens = flat.field(0).to_numpy()[offs[0] : offs[-1]], flat.field(1).to_numpy()[offs[0] : offs[-1]].view(np.uint64)
+            offs = offs - offs[0]
+            doc = np.repeat(np.arange(len(lists)), np.diff(offs))
+            order = np.lexsort((tokens, counts, doc))
+            counts, tokens = counts[order], tokens[order]
+            n = batch.column(1).to_numpy()
+            of, sigs = combinations(tokens, counts, offs, n, num, den)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(lists)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n - np.diff(offs), pa.int64()), _lists(tokens, offs), _lists(sigs, ends)], ["node", "n", "alone", "tokens", "sigs"])
+
+    return owned.mapInArrow(tidy(index), "node long, n long, alone long, tokens array<long>, sigs array<long>").where("size(sigs) > 0")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets reach the similarity."""
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-    least, most = F.least(F.size("ta"), F.size("tb")), F.greatest(F.size("ta"), F.size("tb"))
-    both = both.where(least * den >= most * num)
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     both = both.withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long"))
-    return both.where(F.col("shared") * den >= (F.size("ta") + F.size("tb") - F.col("shared")) * num).select("a", "b")
+    return both.where(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num).select("a", "b")
 
 
-def _toward(members: DataFrame, outside: bool = False) -> DataFrame:
-    """One pair ``(a, b)`` for each id ``b``: with the member ``a`` that stands for the main component of most of its combinations. With ``outside``, only for ids of other components."""
-    met = Window.partitionBy("sig")
-    centre = F.max_by(F.when(F.col("main"), F.col("id")), F.when(F.col("main"), F.struct("shares", -F.col("id")))).over(met)
-    votes = members.withColumn("a", centre).where("a <> id" + (" and not main" if outside else "")).groupBy("id", "a").count()
-    return votes.groupBy("id").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", F.col("id").alias("b"))
+def _toward(shared: DataFrame) -> DataFrame:
+    """One pair ``(a, b)`` for each node ``b``: with the set ``a`` of fewest tokens of its own in most of its combinations."""
+    middle = shared.groupBy("sig").agg(F.min_by("node", F.struct("alone", "node")).alias("a"))
+    votes = shared.join(middle, "sig").where("a <> node").groupBy("node", "a").count()
+    return votes.groupBy("node").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", F.col("node").alias("b"))
 
 
-def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """``sig, id, shares, c, main`` of the combinations whose members lie in several components ``c``; ``main`` is the largest."""
-    member = shared.join(label, F.col("id") == F.col("vertex"), "left").select("sig", "id", "shares", F.coalesce("component", "id").alias("c"))
+def _around(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """``chief, node, c``: where several components ``c`` meet in a combination, all its nodes, under the largest of the components."""
+    member = shared.join(label, F.col("node") == F.col("vertex"), "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     sizes = member.groupBy("sig", "c").agg(F.count("*").alias("k"))
     split = sizes.groupBy("sig").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("chief"), F.count("*").alias("parts")).where("parts > 1").select("sig", "chief")
-    return member.join(split, "sig").withColumn("main", F.col("c") == F.col("chief")).drop("chief")
+    return member.join(split, "sig").select("chief", "node", "c").distinct()
+
+
+def _differences(around: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``chief, node, c, n, alone, k, slack, reach, e``: each set's difference from the tokens that most sets of the chief component have.
+
+    ``k`` is its size, ``e`` its tokens without the set's own ones (those come first in the order): added ones, rare first, then
+    lacking ones, those that most sets have first. Two sets whose slacks sum to 0 or more are linked.
+    """
+    main = around.where("c = chief")
+    size = main.groupBy("chief").agg(F.count("*").alias("members"))
+    token = main.join(sets.select("node", "tokens"), "node").select("chief", F.explode("tokens").alias("token")).groupBy("chief", "token").agg(F.count("*").alias("times"))
+    core = token.join(size, "chief").where("2 * times > members").groupBy("chief").agg(F.transform(F.sort_array(F.collect_list(F.struct("times", "token")), asc=False), lambda x: x["token"]).alias("core"))
+    both = around.join(sets.select("node", "n", "alone", "tokens"), "node").join(core, "chief", "left").withColumn("core", F.coalesce("core", F.expr("cast(array() as array<long>)")))
+    both = both.withColumn("e", F.concat(F.array_except("tokens", "core"), F.array_except("core", "tokens"))).withColumn("k", F.size("e") + F.col("alone"))
+    return both.select("chief", "node", "c", "n", "alone", "k", F.expr(f"{den - num} * n - {den + num} * k").alias("slack"), F.expr(f"{den - num} * n + {den + num} * k").alias("reach"), "e")
 
 
-def _apart(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` that may still be linked: of one combination, in different components, one of them outside the main one.
+def _apart(around: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``(linked, pairs)`` for the rows of ``_differences``: links that follow from the slacks, and pairs ``(a, b)`` that may be linked.
 
-    Where few members are outside, each is paired with all. Elsewhere a member is written as its difference ``E`` from the
-    combination's centre ``h``: two sets differ by just as much as their differences from ``h`` do, so a linked pair has at
-    least ``o = (|Ea| + |Eb| - D) / 2`` of them in common, and the first in an order that all keep is within the first
-    ``|E| - o + 1`` of both. Copies that are edited independently have few in common, so what they all share brings no pair.
-    Two sets whose differences are disjoint can be linked only if both are linked to ``h`` (a difference is at least the
-    difference of the sizes), and the pairs with ``h`` are all returned, so one of a pair may be taken as not linked to it.
+    A set of slack ``s`` is linked to one of slack ``t`` only if their differences have at least ``(-s - t) / 2 (den + num)``
+    tokens in common. If that is not positive they are linked, and both to the set of the largest slack. Others have a common
+    token within the first ``k - o + 1`` of both, where ``o`` is the least such number that the set can need.
     """
-    outside = open_.where("not main").groupBy("sig").agg(F.count("*").alias("outside"))
-    centre = open_.where("main").groupBy("sig").agg(F.max_by("id", F.struct("shares", -F.col("id"))).alias("hub"))
-    members = stored(open_.join(outside.join(centre, "sig"), "sig").select("sig", "id", "c", "main", "hub", "outside"), "jaccard-members")
-    few = members.where(F.col("outside") <= FEW)
-    one, two = few.where("not main").select("sig", F.col("id").alias("x"), F.col("c").alias("cx")), few.select("sig", F.col("id").alias("y"), F.col("c").alias("cy"))
-    pairs = one.join(two, "sig").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    around = members.where((F.col("outside") > FEW) & (F.col("id") != F.col("hub"))).select("hub", "id", "c").distinct()
-    both = around.join(sets.select(F.col("id").alias("hub"), F.col("tokens").alias("th")), "hub").join(sets.select("id", "tokens"), "id")
-    n, nh = F.size("tokens").cast("long"), F.size("th").cast("long")
-    both = both.select("hub", "id", "c", n.alias("n"), nh.alias("nh"), F.concat(F.array_except("tokens", "th"), F.array_except("th", "tokens")).alias("e"))
-    linked = F.expr(f"size(e) * {den + num} <= {den - num} * (n + nh)")
-    # A set of n differs in at most so many from any that is linked to it; of one linked to h, over |E| * num / (den + num) are common.
-    reach = F.expr(f"size(e) - size(e) * {num} div {den + num}")
-    first = F.least(F.size("e").cast("long"), F.expr(f"{den - num} * (n + n * {den} div {num}) div {den + num} + 1"), F.when(linked, reach))
-    both = stored(both.withColumn("linked", linked).select("hub", "id", "c", "n", "linked", F.size("e").cast("long").alias("k"), F.slice("e", F.lit(1), first.cast("int")).alias("e")), "jaccard-around")
-    marks = both.select("hub", "id", "c", "n", "linked", "k", F.posexplode("e").alias("at", "token"))
-    x = marks.where("not linked").select("hub", "token", *(F.col(k).alias(f"x_{k}") for k in ("id", "c", "n", "k", "at")))
-    y = marks.select("hub", "token", *(F.col(k).alias(f"y_{k}") for k in ("id", "c", "n", "k", "at", "linked")))
-    common = f"(x_k + y_k - {den - num} * (x_n + y_n) div {den + num} + 1) div 2"
-    near = x.join(y, ["hub", "token"]).where(f"x_c <> y_c and (y_linked or x_id < y_id) and least(x_n, y_n) * {den} >= greatest(x_n, y_n) * {num} and x_at + {common} <= x_k and y_at + {common} <= y_k")
-    near = near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-    return pairs.unionByName(near).unionByName(both.where("linked").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))).distinct()
+    twice = 2 * (den + num)
+    top = around.groupBy("chief").agg(F.max("slack").alias("top"), F.max_by("node", F.struct("slack", -F.col("node"))).alias("star"), F.max_by("c", F.struct("slack", -F.col("node"))).alias("star_c"), F.max_by("node", F.struct("reach", "node")).alias("far"))
+    rows = around.join(top, "chief")
+    farther = rows.groupBy("chief").agg(F.max(F.when(F.col("node") == F.col("far"), F.col("reach"))).alias("reach_1"), F.max(F.when(F.col("node") != F.col("far"), F.col("reach"))).alias("reach_2"))
+    linked = rows.where("slack + top >= 0 and c <> star_c").select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b"))
+    rows = rows.join(farther, "chief").where("-slack <= if(node = far, reach_2, reach_1)").withColumn("out", F.expr("slack + top < 0"))
+    rows = rows.withColumn("common", F.expr(f"if(out, (-slack - top + {twice - 1}) div {twice}, (top + 1 - slack + {twice - 1}) div {twice})"))
+    first = F.least(F.col("k") - F.col("common") + 1 - F.col("alone"), F.size("e"))
+    rows = rows.where(first > 0)
+    marks = rows.select("chief", "node", "c", "out", "k", "slack", F.posexplode(F.slice("e", F.lit(1), first.cast("int"))).alias("at", "token"), "alone").withColumn("at", F.col("at") + F.col("alone"))
+    side = lambda p: [F.col(x).alias(f"{p}_{x}") for x in ("node", "c", "out", "k", "slack", "at")]
+    x, y = marks.where("out").select("chief", "token", *side("x")), marks.select("chief", "token", *side("y"))
+    need = f"(-x_slack - y_slack + {twice - 1}) div {twice}"
+    near = x.join(y, ["chief", "token"]).where(f"x_c <> y_c and (not y_out or x_node < y_node) and x_at + {need} <= x_k and y_at + {need} <= y_k")
+    return linked, near.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -204,43 +263,47 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     exactly and with no cap on partners; ``component_id`` is the smallest ``doc_id`` in reach. Only ``doc_id`` and
     ``text`` are read, so other columns may have any name. A null, empty or blank text has an empty set and is linked
     with nothing. A row whose ``doc_id`` is null keeps a null ``component_id`` and links nothing. Rows that repeat a
-    ``doc_id`` are one document for the links. An empty table gives an empty result.
+    ``doc_id`` are one document for the links, with the sets of all their texts. An empty table gives an empty result.
     """
     g = gcd(num, den)
     num, den = num // g, den // g
     if not 0 < num < den:
         raise ValueError("the similarity must lie between 0 and 1")
-    index = stored(_index(docs, n, num, den), "jaccard-index")
-    equal = stored(index.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id")), "jaccard-equal")
-    reps = index.where("key is not null").join(equal.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
-    met = Window.partitionBy("sig")
-    shared = stored(reps.withColumn("least", F.min("id").over(met)).withColumn("most", F.max("id").over(met)).where("least < most").select("sig", "id"), "jaccard-shared")
+    index = stored(_index(docs, n, num, den), "jaccard-first")
     slim = stored(index.select("doc_id", "n_shingles", "key"), "jaccard-rows")
+    named = index.where("key is not null and doc_id is not null")
+    equal = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("mark").alias("mark"), F.first("needed").alias("needed"), F.first(F.size("first")).alias("first"))
+    equal = stored(equal.withColumn("node", F.monotonically_increasing_id()), "jaccard-equal")
+    single = named.select("mark", F.explode("first").alias("token")).groupBy("token").agg(F.min("mark").alias("mark"), F.max("mark").alias("most")).where("mark = most").groupBy("mark").agg(F.count("*").alias("single"))
+    wanted = stored(equal.join(single, "mark", "left").where("first - coalesce(single, 0) >= needed").select("key", "id", "node"), "jaccard-wanted")
     drop_stored(index)
-    # A member that shares much with many is near the middle of its group: the others are verified against it first.
-    known = stored(shared.groupBy("id").agg(F.count("*").alias("shares")), "jaccard-known")
-    bare, shared = shared, stored(shared.join(known, "id"), "jaccard-shares")
-    drop_stored(bare)
-    best = stored(_toward(shared.select("sig", "id", "shares", F.lit(True).alias("main"))), "jaccard-best")
-    sets = stored(_built_sets(docs, known.select("id"), n), "jaccard-sets")
-    drop_stored(known)
-    links = stored(_verified(best, sets, num, den), "jaccard-links")
-    label = stored(components(links, "a", "b"), "jaccard-label")
-    for pairs_of in (lambda x: _toward(x, outside=True), lambda x: _apart(x, sets, num, den)):
-        open_ = stored(_open(shared, label), "jaccard-open")
-        tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs_of(open_)
-        pairs = stored(_plausible(pairs.join(tried, [F.least(pairs.a, pairs.b) == tried.a, F.greatest(pairs.a, pairs.b) == tried.b], "left_anti"), sets, num, den), "jaccard-plausible")
-        more = stored(_verified(pairs, sets, num, den), "jaccard-more")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            drop_stored(label)
-            label = stored(components(links, "a", "b"), "jaccard-label")
-        drop_stored(open_)
-        drop_stored(pairs)
-    for x in (shared, sets, best, links):
+    built = stored(_built_sets(docs, wanted, n), "jaccard-built")
+    sets = stored(_indexed(built, num, den), "jaccard-sets")
+    drop_stored(built)
+    drop_stored(wanted)
+    sig = sets.select("node", "alone", F.explode("sigs").alias("sig"))
+    met = sig.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+    shared = stored(sig.join(met, "sig"), "jaccard-shared")
+    links = [stored(_verified(_toward(shared), sets, num, den), "jaccard-links")]
+    twice = slim.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("key")).where("low < key").select("doc_id")
+    twice = slim.join(twice, "doc_id", "left_semi").where("key is not null").select("doc_id", "key").distinct().join(equal.select("key", "node"), "key")
+    same = twice.groupBy("doc_id").agg(F.min("node").alias("a")).join(twice, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+    links.append(stored(same, "jaccard-same"))
+    label = stored(components(links[0].unionByName(links[1]), "a", "b"), "jaccard-label")
+    around = stored(_around(shared, label), "jaccard-around")
+    drop_stored(shared)
+    apart = stored(_differences(around, sets, num, den), "jaccard-differences")
+    drop_stored(around)
+    linked, near = _apart(apart, num, den)
+    links += [stored(linked.distinct(), "jaccard-certain"), stored(_verified(near.distinct(), sets, num, den), "jaccard-more")]
+    if not (links[2].isEmpty() and links[3].isEmpty()):
+        drop_stored(label)
+        label = stored(components(links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3]), "a", "b"), "jaccard-label")
+    for x in (apart, sets, *links):
         drop_stored(x)
-    final = equal.join(label, F.col("id") == F.col("vertex"), "left").select("key", F.coalesce("component", "id").alias("found"))
+    of = equal.join(label, F.col("node") == F.col("vertex")).select("key", "id", "component")
+    least = of.groupBy("component").agg(F.min("id").alias("found"))
+    final = of.join(least, "component").select("key", "found").unionByName(equal.join(label, F.col("node") == F.col("vertex"), "left_anti").select("key", F.col("id").alias("found")))
     return slim.join(final, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
 
 
