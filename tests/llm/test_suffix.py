@@ -50,6 +50,27 @@ def test_same_as_brute_force(spark, monkeypatch, length, hot):
     assert [i for i in got if got[i] != want[i]] == []
 
 
+def test_long_texts_by_segments(spark, monkeypatch):
+    """Texts of many segments, spans over their borders, and rows of one id or of none."""
+    monkeypatch.setattr(op, "SEGMENT", 700)
+    rnd = random.Random(3)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(9000))
+    texts = [long, "z" + long[2000:5200], long[8700:] + "y" * 90, "q" * 4000, long[100:260], "".join(rnd.choice("abcdefgh ") for _ in range(5000))]
+    rows = [(7, t, "x") for t in texts[:2]] + [(None, t, "x") for t in texts[2:]]
+    out = op.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, body string"), 150).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == sorted(brute(texts, 150))
+    assert sorted(r.doc_id or 0 for r in out) == [0, 0, 0, 0, 7, 7]
+
+
+def test_a_text_of_megabytes(spark):
+    rnd = np.random.default_rng(5)
+    long = bytes(rnd.integers(97, 123, 10_000_000, np.uint8)).decode()
+    rows = [(1, long), (2, long[3_000_000:3_000_500]), (3, "short")]
+    out = {r.doc_id: r for r in op.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(out[k].n_removed, out[k].n_spans) for k in (1, 2, 3)] == [(500, 1), (500, 1), (0, 0)]
+    assert out[1].kept_sha256 == hashlib.sha256((long[:3_000_000] + long[3_000_500:]).encode()).hexdigest()
+
+
 def test_empty_table(spark):
     assert op.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.llm.texts import mix, slabs, tidy
@@ -31,6 +31,8 @@ from wattframe.operators.storage import drop_stored, stored
 GRAM = 50
 #: Distinct contexts of one anchor beyond which they are compared by a distributed aggregate, and contexts in one batch of the sort.
 HOT, BATCH = 20_000, 20_000
+#: Bytes of a long text that are looked at together.
+SEGMENT = 1 << 18
 FILTER_BITS = 1 << 23
 
 _BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
@@ -85,6 +87,23 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np
     return h[at].view(np.int64), context.view(np.int64), doc, at - offs[doc]
 
 
+def _anchors_of(data: np.ndarray, offs: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`anchors`, a long text by overlapping segments; of an anchor in two of them the first counts in which its context is whole."""
+    n, step = len(data), max(SEGMENT - 4 * length, 1)
+    if n <= SEGMENT or len(offs) > 2:
+        yield anchors(data, offs, length, k)
+        return
+    last = -1
+    for a in range(0, max(1, n - 4 * length), step):
+        b = min(n, a + step + 4 * length)
+        h, context, doc, at = anchors(data[a:b], np.array([0, b - a]), length, k)
+        at = at + a
+        own = (at > last) & ((at - (length - k) >= a) | (a == 0)) & ((at + length <= b) | (b == n))
+        if own.any():
+            last = int(at[own][-1])
+        yield h[own], context[own], doc[own], at[own]
+
+
 def sort_columns(rows: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The least and greatest column at which a repeated string starts, for each context; ``length`` and ``-1`` where none does.
 
@@ -151,8 +170,11 @@ def _bitmap(df: DataFrame, column: str) -> np.ndarray:
     return table.view(np.uint8)
 
 
+_CONTEXT = "h long, ctx long, copies long, left int, piece binary, rid binary, pos long"
+
+
 def _contexts(rows: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
-    """``(h, ctx, copies, left, right, bytes)``: the bytes of one copy of each wanted context."""
+    """``(h, ctx, copies, left, piece, rid, pos)``: the bytes and the place of one copy of each wanted context."""
     table = _bitmap(wanted, "rid")
 
     def near(batches):
@@ -162,23 +184,20 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFr
             if len(hit):
                 yield batch.select([0, 1]).take(pa.array(hit))
 
-    texts = rows.select("rid", "body", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).cast("int").alias("bit")).mapInArrow(tidy(near), "rid long, body binary")
+    texts = rows.select("rid", "body", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).cast("int").alias("bit")).mapInArrow(tidy(near), "rid binary, body binary")
     # Rows with equal texts have one rid: any of them serves, so the places of a text are kept once and the copies dropped by the last aggregate.
     places = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "ctx", "copies", "pos")).alias("places"))
 
     def cut(batches):
         for batch in batches:
-            bodies, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[tuple] = []
-            for body, ps in zip(bodies, places):
-                for p in ps:
-                    lo, hi = max(0, p["pos"] - (length - k)), min(len(body), p["pos"] + length)
-                    out.append((p["h"], p["ctx"], p["copies"], length - k - (p["pos"] - lo), body[lo:hi]))
-            if out:
-                h, ctx, copies, left, piece = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), pa.array(copies, pa.int64()), pa.array(left, pa.int32()), pa.array(piece, pa.binary())], ["h", "ctx", "copies", "left", "piece"])
+            for row in range(len(batch)):
+                body, places = batch.column(1)[row].as_py(), batch.column(2)[row].values
+                pos = places.field("pos").to_numpy()
+                lo, hi = np.maximum(0, pos - (length - k)), np.minimum(len(body), pos + length)
+                pieces = [body[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
+                yield pa.RecordBatch.from_arrays([*(places.field(x) for x in ("h", "ctx", "copies")), pa.array((length - k - (pos - lo)).astype(np.int32)), pa.array(pieces, pa.binary()), pa.array([batch.column(0)[row].as_py()] * len(pos), pa.binary()), places.field("pos")], ["h", "ctx", "copies", "left", "piece", "rid", "pos"])
 
-    return texts.join(places, "rid").select("body", "places").mapInArrow(tidy(cut), "h long, ctx long, copies long, left int, piece binary")
+    return texts.join(places, "rid").select("rid", "body", "places").mapInArrow(tidy(cut), _CONTEXT)
 
 
 def _matrix(left: np.ndarray, pieces: pa.Array, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +221,8 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, k: int) -> It
         rows, right = _matrix(left, table.column("piece").combine_chunks(), length, k)
         first, last = sort_columns(rows, left, right, h, length, k)
         hit = np.flatnonzero(last >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(table.column("ctx").to_numpy()[hit]), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], ["h", "ctx", "first", "last"])
+        kept = table.take(pa.array(hit)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(kept.column(x).combine_chunks() for x in ("copies", "rid", "pos")), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], ["copies", "rid", "pos", "first", "last"])
 
     for batch in batches:
         held.append(batch)
@@ -222,9 +242,9 @@ def _counted(contexts: DataFrame, length: int, k: int) -> DataFrame:
 
     def strings(batches):
         for batch in batches:
-            h, ctx = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            left = batch.column(3).to_numpy().astype(np.int64)
-            for lo, hi, data, offs in slabs(batch.column(4), 1 << 18):
+            h = batch.column("h").to_numpy()
+            left = batch.column("left").to_numpy().astype(np.int64)
+            for lo, hi, data, offs in slabs(batch.column("piece"), 1 << 18):
                 if len(data) < length:
                     continue
                 hashes = _Hashes(data)
@@ -233,48 +253,47 @@ def _counted(contexts: DataFrame, length: int, k: int) -> DataFrame:
                 col = at - offs[row] + left[lo + row]
                 ok = (at + length <= offs[row + 1]) & (col <= length - k)
                 at, row, col = at[ok], row[ok], col[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(h[lo + row]), pa.array(ctx[lo + row]), pa.array(col.astype(np.int32)), pa.array(hashes.of(at, at + length).view(np.int64))], ["h", "ctx", "col", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[lo + row]), *(batch.column(x).take(pa.array(lo + row)) for x in ("copies", "rid", "pos")), pa.array(col.astype(np.int32)), pa.array(hashes.of(at, at + length).view(np.int64))], ["h", "copies", "rid", "pos", "col", "s"])
 
-    each = contexts.mapInArrow(tidy(strings), "h long, ctx long, col int, s long")
+    each = contexts.mapInArrow(tidy(strings), "h long, copies long, rid binary, pos long, col int, s long")
     twice = each.groupBy("h", "col", "s").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return each.join(twice, ["h", "col", "s"], "left_semi").groupBy("h", "ctx").agg(F.min("col").alias("first"), F.max("col").alias("last"))
+    return each.join(twice, ["h", "col", "s"], "left_semi").groupBy("copies", "rid", "pos").agg(F.min("col").alias("first"), F.max("col").alias("last"))
 
 
 def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
-    """``(rid, spans)`` from ``(rid long, body binary)``: the maximal runs of bytes covered by a string of ``length`` bytes that also starts elsewhere. Rows of one ``rid`` have equal bodies and count as often as they occur."""
+    """``(rid, spans)`` from ``(rid binary, body binary)``: the bytes covered by a string of ``length`` bytes that also starts elsewhere, as runs ``(s, e)`` in order that may overlap (:func:`merged`). Rows of one ``rid`` have equal bodies and count as often as they occur."""
     k = min(GRAM, max(1, length // 4))
     before = length - k
 
     def find(batches):
         for batch in batches:
-            rid = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offs in slabs(batch.column(1), 1 << 18):
-                h, ctx, doc, pos = anchors(data, offs, length, k)
-                size = np.diff(offs)[doc] if len(doc) else doc
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(rid[lo + doc] if len(doc) else doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(size, pa.int64())], ["h", "ctx", "rid", "pos", "size"])
-
-    found = rows.select("rid", "body").mapInArrow(tidy(find), "h long, ctx long, rid long, pos long, size long")
-    same = Window.partitionBy("h")
-    met = found.withColumn("n", F.count("*").over(same)).withColumn("open", F.min("ctx").over(same) != F.max("ctx").over(same)).where("n > 1")
-    met = stored(met.groupBy("h", "ctx", "rid", "pos", "size", "open").agg(F.count("*").alias("rows")), "suffix-anchors")
+            rid = batch.column(0)
+            for lo, _, data, offs in slabs(batch.column(1), SEGMENT):
+                for h, ctx, doc, pos in _anchors_of(data, offs, length, k):
+                    size = np.diff(offs)[doc] if len(doc) else doc
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), rid.take(pa.array(lo + doc, pa.int64())), pa.array(pos, pa.int64()), pa.array(size, pa.int64())], ["h", "ctx", "rid", "pos", "size"])
+
+    found = stored(rows.select("rid", "body").mapInArrow(tidy(find), "h long, ctx long, rid binary, pos long, size long"), "suffix-found")
+    twice = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("open")).where("n > 1").select("h", "open")
+    met = stored(found.join(twice, "h").groupBy("h", "ctx", "rid", "pos", "size", "open").agg(F.count("*").alias("rows")), "suffix-anchors")
+    drop_stored(found)
     unsure = met.where("open").groupBy("h", "ctx").agg(F.min(F.struct("rid", "pos")).alias("one"), F.sum("rows").alias("copies"))
-    wanted = unsure.select("h", "ctx", "copies", "one.rid", "one.pos")
-    contexts = stored(_contexts(rows, wanted, length, k).dropDuplicates(["h", "ctx"]), "suffix-contexts")
+    contexts = stored(_contexts(rows, unsure.select("h", "ctx", "copies", "one.rid", "one.pos"), length, k).dropDuplicates(["h", "ctx"]), "suffix-contexts")
     many = contexts.groupBy("h").count().where(F.col("count") > HOT).select("h").limit(1).count() > 0
     some = contexts
     if many:
         hot = stored(contexts.groupBy("h").count().where(F.col("count") > HOT).select("h"), "suffix-hot")
         some = contexts.join(hot, "h", "left_anti")
-    answers = some.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(lambda b: _sorted_groups(b, length, k)), "h long, ctx long, first int, last int")
+    answers = some.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(lambda b: _sorted_groups(b, length, k)), "copies long, rid binary, pos long, first int, last int")
     if many:
-        answers = answers.unionByName(_counted(contexts.join(hot, "h", "left_semi").select("h", "ctx", "copies", "left", "piece"), length, k))
+        answers = answers.unionByName(_counted(contexts.join(hot, "h", "left_semi"), length, k))
+    # A context that occurs twice repeats as a whole, wherever it stands; one that occurs once has its place with it.
     whole = contexts.where("copies > 1").select("h", "ctx")
     start, end = F.greatest(F.col("pos") - before, F.lit(0)), F.least(F.col("pos") + length, F.col("size"))
     sure = met.where("not open").select("rid", start.alias("s"), end.alias("e"))
     copied = met.where("open").join(whole, ["h", "ctx"], "left_semi").select("rid", start.alias("s"), end.alias("e"))
-    part = met.where("open").join(answers, ["h", "ctx"]).select("rid", (F.col("pos") - before + F.col("first")).alias("s"), (F.col("pos") - before + F.col("last") + length).alias("e"))
-    spans = sure.unionByName(copied).unionByName(part).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("raw"))
-    return spans.select("rid", _merged("raw").alias("spans"))
+    part = answers.where("copies = 1").select("rid", (F.col("pos") - before + F.col("first")).alias("s"), (F.col("pos") - before + F.col("last") + length).alias("e"))
+    return sure.unionByName(copied).unionByName(part).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
 def _stored_spans(rows: DataFrame, length: int) -> DataFrame:
@@ -285,27 +304,28 @@ def _stored_spans(rows: DataFrame, length: int) -> DataFrame:
     return spans
 
 
-def _merged(column: str):
-    """Sorted ``(s, e)`` structs joined where they touch."""
-    return F.expr(f"""aggregate({column}, cast(array() as array<struct<s: bigint, e: bigint>>), (acc, x) ->
-        case when size(acc) > 0 and x.s <= element_at(acc, -1).e
-             then concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e))))
-             else concat(acc, array(named_struct('s', x.s, 'e', x.e))) end)""")
+def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Runs in order, joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for x in spans or ():
+        if out and x["s"] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], x["e"]))
+        else:
+            out.append((x["s"], x["e"]))
+    return out
 
 
-def _kept(body: bytes, spans: list[dict] | None) -> bytes:
-    if not spans:
-        return body
+def _kept(body: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
-    for x in spans:
-        out.append(body[at : x["s"]])
-        at = x["e"]
+    for s, e in spans:
+        out.append(body[at:s])
+        at = e
     return b"".join([*out, body[at:]])
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.withColumn("_wf_body", body).withColumn("_wf_rid", F.xxhash64(F.md5("_wf_body"), F.octet_length("_wf_body")))
+    return docs.withColumn("_wf_body", body).withColumn("_wf_rid", F.unhex(F.md5("_wf_body")))
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -321,9 +341,9 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     def digest(batches):
         for batch in batches:
-            ids, bodies, spans = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            kept = [_kept(b, s) for b, s in zip(bodies, spans)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(b) for b in bodies], pa.int64()), pa.array([len(b) - len(x) for b, x in zip(bodies, kept)], pa.int64()), pa.array([len(s or ()) for s in spans], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            ids, bodies, spans = batch.column(0), batch.column(1).to_pylist(), list(map(merged, batch.column(2).to_pylist()))
+            kept = list(map(_kept, bodies, spans))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(b) for b in bodies], pa.int64()), pa.array([len(b) - len(x) for b, x in zip(bodies, kept)], pa.int64()), pa.array(list(map(len, spans)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     touched, clean = _divided(rows, spans)
     out = touched.join(spans, "rid", "left").select("doc_id", "body", "spans").mapInArrow(tidy(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -355,23 +375,22 @@ def cut_texts(docs: DataFrame, length: int = 200) -> DataFrame:
     rows = _bodies(docs)
     spans = _stored_spans(rows.where(F.octet_length("_wf_body") >= length).select(F.col("_wf_rid").alias("rid"), F.col("_wf_body").alias("body")), length).withColumnRenamed("rid", "_wf_rid").withColumnRenamed("spans", "_wf_spans")
 
-    @F.udf("string", useArrow=True)
-    def rest(body, spans):
-        return _whole_chars(body, spans)
+    at = names.index("text")
+
+    def rest(batches):
+        for batch in batches:
+            left = [t if s is None else _whole_chars(t.encode(), merged(s)) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
+            yield batch.select(range(len(names))).set_column(at, "text", pa.array(left, pa.string()))
 
     touched, clean = _divided(rows, spans, "_wf_rid")
-    done = touched.join(spans, "_wf_rid", "left").withColumn("text", F.when(F.col("_wf_spans").isNull(), F.col("text")).otherwise(rest("_wf_body", "_wf_spans")))
-    out = done.select(*names).unionByName(clean.select(*names))
+    done = touched.join(spans, "_wf_rid", "left").select(*names, "_wf_spans").mapInArrow(tidy(rest), docs.schema)
+    out = done.unionByName(clean.select(*names))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else out
 
 
-def _whole_chars(body, spans) -> str:
-    body = bytes(body)
-    if spans is None:
-        return body.decode("utf-8", "replace")
+def _whole_chars(body: bytes, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
-    for x in spans:
-        s, e = x["s"], x["e"]
+    for s, e in spans:
         while s < e and body[s] & 0xC0 == 0x80:
             s += 1
         while e > s and e < len(body) and body[e] & 0xC0 == 0x80:
