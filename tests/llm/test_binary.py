@@ -36,6 +36,27 @@ def test_a_broken_block_is_noticed():
         op.decode_chunk(table, frames)
 
 
+def test_rows_of_one_id_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(op, "LANES", 3)  # many chunks, of several runs of lanes
+    monkeypatch.setattr(op, "BLOCK", 64)
+    rows = [(5, f"text {k} " * (k + 1)) for k in range(40)] + [(4, "x"), (6, "y " * 5000)]
+    both = [op.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), PATH).collect() for n in (3, 5)]
+    one, two = (sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in x) for x in both)
+    assert one == two and [r[1] for r in one] == [4] + [5] * 40 + [6]
+    assert [r[0] for r in one] == np.cumsum([0] + [r[2] for r in one[:-1]]).tolist()
+
+
+def test_skewed_tables():
+    """Ids far below one in a hundred thousand, and one that is nearly all."""
+    ids = np.zeros(300_000, np.uint32)
+    ids[::997] = np.arange(len(ids[::997])) + 1
+    table, frames = op.encode_chunk(ids, 4096)
+    assert (op.decode_chunk(table, frames, 4096) == ids).all() and sum(map(len, frames)) < len(ids) / 16
+    every = np.random.default_rng(1).permutation(50257).astype(np.uint32)
+    table, frames = op.encode_chunk(every, 512)
+    assert (op.decode_chunk(table, frames, 512) == every).all()
+
+
 def test_documents(spark):
     lib = Tokenizer.from_file(PATH)
     lib.encode_special_tokens = True

@@ -1,12 +1,13 @@
 """Token ids as compressed binary: a context-mixing range coder in independent, checksummed blocks.
 
 A chunk holds whole documents: their ids, sizes, an order-0 table (how often each id occurs in the chunk, scaled) and
-blocks of ``BLOCK`` consecutive ids. Every block starts from the same reset state and can be decoded alone. The
+blocks of ``BLOCK`` consecutive ids. Every block starts from the same reset state and can be decoded with the table alone. The
 probability of the next id mixes three predictions: the order-0 table, the id that last followed the previous id, and the
 id that last followed the previous two. The last two are learnt as the block goes on, and each is weighted by how often its
-entry has been right; the mixture drives a 64-bit range coder without carries. A block ends in a checksum of its ids.
+entry has been right; the mixture drives a range coder that counts in whole numbers held by doubles. A block ends in a
+checksum of its ids.
 
-The coder is sequential within a block, so the blocks of a chunk advance together, one id each per step, as vectors.
+The coder is sequential within a block, so up to ``LANES`` blocks of a chunk advance together, one id each per step, as vectors.
 Chunks are rows of a Parquet table in the folder that the cluster shares: any store that Spark can write will do.
 """
 
@@ -25,13 +26,12 @@ from wattframe.llm.texts import tidy
 from wattframe.llm.tokens import encoder
 from wattframe.operators.storage import shared_folder
 
+#: Ids of a block; blocks that advance together.
 BLOCK, LANES = 4096, 2048
-#: The order-0 table's total; sizes of the order-1 and order-2 tables; an entry's weight by its confidence.
-TOTAL, ONE, TWO = 1 << 18, 1 << 12, 1 << 13
-WEIGHTS = np.array([0, 1 << 13, 1 << 15, 1 << 16, 1 << 17, 1 << 18, 1 << 19, 1 << 20], np.int64)
-_UP = np.array([[1, 1], [1, 2], [1, 3], [1, 4], [2, 5], [2, 6], [3, 7], [3, 7]], np.int8)  # [confidence, right]
-_TOP, _LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _48, _LOW32 = np.uint64(16), np.uint64(48), np.uint64((1 << 32) - 1)
+#: The order-0 table's total; sizes of the order-1 and order-2 tables; an entry of confidence ``c`` weighs ``2 ** c - 1`` times this.
+TOTAL, ONE, TWO, WEIGHT = 1 << 17, 1 << 10, 1 << 11, 3500
+#: The range coder counts in whole numbers below 2 ** 49, which doubles hold exactly; so are its quotients, for totals below 2 ** 20.
+_TOP, _LEAST, _DIGIT = 2.0**48, 2.0**32, 2.0**16
 
 
 class BrokenBlock(ValueError):
@@ -49,52 +49,48 @@ def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.uint32), f.astype(np.uint32)
 
 
-class _State:
-    """The models of ``lanes`` blocks at one step; ids are ranks in the chunk's table."""
-
-    def __init__(self, f: np.ndarray, lanes: int):
-        self.f = f.astype(np.int64)
-        self.cum = np.concatenate([[0], np.cumsum(self.f)[:-1]]).astype(np.int64)
-        self.one, self.sure1 = np.zeros(lanes * ONE, np.int32), np.zeros(lanes * ONE, np.int8)
-        self.two, self.sure2 = np.zeros(lanes * TWO, np.int32), np.zeros(lanes * TWO, np.int8)
-        self.base1, self.base2 = np.arange(lanes) * ONE, np.arange(lanes) * TWO
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, m: int) -> None:
-        last = self.last[:m]
-        self.at1 = self.base1[:m] + ((last * 40503) >> 3 & (ONE - 1))
-        self.at2 = self.base2[:m] + ((last * 40503 + self.before[:m] * 30011) >> 2 & (TWO - 1))
-        self.a, self.c1 = self.one[self.at1], self.sure1[self.at1]
-        self.b, self.c2 = self.two[self.at2], self.sure2[self.at2]
-        self.wa, self.wb = WEIGHTS[self.c1], WEIGHTS[self.c2]
-        self.total = self.wa + self.wb + TOTAL
-
-    def span(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.ra, self.rb = self.a == s, self.b == s
-        return self.cum[s] + self.wa * (self.a < s) + self.wb * (self.b < s), self.f[s] + self.wa * self.ra + self.wb * self.rb
-
-    def learn(self, s: np.ndarray) -> None:
-        m = len(s)
-        self.one[self.at1] = np.where(self.c1 > 1, self.a, s)
-        self.two[self.at2] = np.where(self.c2 > 1, self.b, s)
-        self.sure1[self.at1] = _UP[self.c1, self.ra.view(np.int8)]
-        self.sure2[self.at2] = _UP[self.c2, self.rb.view(np.int8)]
-        self.before[:m] = self.last[:m]
-        self.last[:m] = s
-
-    def find(self, t: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """The id whose span holds ``t``."""
-        first = self.a <= self.b
-        a, b = np.where(first, self.a, self.b), np.where(first, self.b, self.a)
-        wa, wb = np.where(first, self.wa, self.wb), np.where(first, self.wb, self.wa)
-        same = a == b
-        wa, wb = np.where(same, wa + wb, wa), np.where(same, 0, wb)
-        from_a, from_b = self.cum[a], self.cum[b]
-        in_a = (t >= from_a) & (t < from_a + self.f[a] + wa)
-        u = np.where(t >= from_a + self.f[a] + wa, t - wa, t)
-        in_b = ~in_a & (u >= from_b) & (u < from_b + self.f[b] + wb)
-        u = np.where(u >= from_b + self.f[b] + wb, u - wb, u)
-        return np.where(in_a, a, np.where(in_b, b, slot[np.minimum(u, TOTAL - 1)]))
+class _Model:
+    """Order-1 and order-2 predictions of ``lanes`` blocks at one step, in two rows; ids are ranks in the chunk's table. An entry is ``8 * rank + confidence``."""
+
+    def __init__(self, lanes: int):
+        self.table = np.zeros(lanes * (ONE + TWO), np.int32)
+        self.base = np.stack([np.arange(lanes) * ONE, lanes * ONE + np.arange(lanes) * TWO])
+
+    def places(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Where the entries after these ids are; the last axis counts lanes."""
+        mixed = np.empty((*last.shape[:-1], 2, last.shape[-1]), np.int32)
+        one, two = mixed[..., 0, :], mixed[..., 1, :]
+        np.multiply(last, np.int32(4051), out=one)
+        np.add(one, before * np.int32(3001), out=two)
+        one >>= np.int32(4)
+        one &= np.int32(ONE - 1)
+        two >>= np.int32(3)
+        two &= np.int32(TWO - 1)
+        return mixed + self.base[:, : last.shape[-1]]
+
+    def learn(self, at: np.ndarray, e: np.ndarray, s8: np.ndarray) -> None:
+        """``s8`` is 8 times the id that came."""
+        sure = e & np.int32(7)
+        wrong = np.where(sure > 1, e - ((sure + np.int32(1)) >> np.int32(1)), s8 + np.int32(1))
+        self.table[at] = np.where((e ^ s8) < 8, e + (sure < 7), wrong)
+
+
+def _weights(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the two candidates; the second has none where it is the first."""
+    w = (np.int32(1) << (e & np.int32(7))) - np.int32(1)
+    w *= np.int32(WEIGHT)
+    wa, wb = w[..., 0, :], w[..., 1, :]
+    wb *= (e[..., 0, :] ^ e[..., 1, :]) > 7
+    return wa, wb
+
+
+def _spans(e: np.ndarray, s: np.ndarray, f: np.ndarray, cum: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(start, freq, total)``: first the order-1 candidate's weight, then the order-2 candidate's, then the table."""
+    wa, wb = _weights(e)
+    both, right = wa + wb, (e ^ (s << np.int32(3))[..., None, :]) < 8
+    is_a, is_b = right[..., 0, :] & (wa > 0), right[..., 1, :] & (wb > 0)
+    start = np.where(is_a, 0, np.where(is_b, wa, both + cum[s]))
+    return start, np.where(is_a, wa, np.where(is_b, wb, f[s])), (both + np.int32(TOTAL)).astype(float)
 
 
 def encode_blocks(ranks: np.ndarray, f: np.ndarray, block: int = BLOCK) -> list[bytes]:
@@ -103,36 +99,70 @@ def encode_blocks(ranks: np.ndarray, f: np.ndarray, block: int = BLOCK) -> list[
     lanes = -(-n // block)
     if not lanes:
         return []
-    steps = np.zeros(lanes * block, np.int64)
-    steps[:n] = ranks
-    steps = np.ascontiguousarray(steps.reshape(lanes, block).T)
-    short = n - (lanes - 1) * block
-    state = _State(f, lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out, size = np.zeros((lanes, 2 * block + 8), ">u2"), np.zeros(lanes, np.int64)
-    for t in range(min(block, n)):
-        m = lanes if t < short else lanes - 1
-        s = steps[t, :m]
-        state.predict(m)
-        start, freq = state.span(s)
-        r = width[:m] // state.total.view(np.uint64)
-        low[:m] += r * start.view(np.uint64)
-        width[:m] = r * freq.view(np.uint64)
-        while True:
-            same = (low[:m] ^ (low[:m] + width[:m])) < _TOP
-            k = np.flatnonzero(same | (width[:m] < _LEAST))
-            if not len(k):
-                break
-            lk, wk = low[k], width[k]
-            wk = np.where(same[k], wk, (~lk + np.uint64(1)) & _LOW32)
-            out[k, size[k]] = lk >> _48
-            size[k] += 1
-            low[k], width[k] = lk << _16, wk << _16
-        state.learn(s)
+    f = f.astype(float)
+    cum = np.concatenate([[0], np.cumsum(f)[:-1]])
+    ids = np.zeros(lanes * block, np.int32)
+    ids[:n] = ranks
+    ids = np.ascontiguousarray(ids.reshape(lanes, block).T)[: min(n, block)]
+    steps, short = len(ids), n - (lanes - 1) * block
+    model = _Model(lanes)
+    out = np.zeros(lanes * (3 * block // 2 + 8), np.int32)
+    begin = np.arange(lanes) * (3 * block // 2 + 8)
+    lows, places = np.zeros(lanes), begin.copy()
+    low, place, width = lows, places, np.full(lanes, _TOP)
+    none = np.zeros((2, lanes), np.int32)
+    few = max(1, (1 << 16) // lanes)
+    for t0 in range(0, steps, few):
+        t1 = min(steps, t0 + few)
+        s = ids[t0:t1]
+        past = np.concatenate([none, s])
+        at = model.places(past[1 : 1 + len(s)], past[: len(s)])
+        none = past[-2:]
+        e, s8 = np.empty(at.shape, np.int32), s << np.int32(3)
+        for t in range(len(s)):
+            e[t] = model.table[at[t]]
+            model.learn(at[t], e[t], s8[t])
+        start, freq, total = _spans(e, s, f, cum)
+        for t in range(len(s)):
+            if t0 + t == short:  # the last block has ended
+                low, width, place = low[:-1], width[:-1], place[:-1]
+            m = len(low)
+            r = np.floor(width / total[t, :m])
+            low += r * start[t, :m]
+            np.multiply(r, freq[t, :m], out=width)
+            # What a lane writes counts only if its place moves on.
+            small = width < _LEAST
+            digit = np.floor(low * (1 / _LEAST))
+            out[place] = digit
+            place += small
+            digit *= small
+            digit *= _LEAST
+            low -= digit
+            times = small * (_DIGIT - 1)
+            times += 1
+            low *= times
+            width *= times
+            again = np.flatnonzero(width < _LEAST)
+            while len(again):
+                digit = np.floor(low[again] * (1 / _LEAST))
+                out[place[again]] = digit
+                place[again] += 1
+                low[again] = (low[again] - digit * _LEAST) * _DIGIT
+                width[again] *= _DIGIT
+                again = again[width[again] < _LEAST]
     for _ in range(4):
-        out[np.arange(lanes), size] = low >> _48
-        size += 1
-        low <<= _16
+        digit = np.floor(lows * (1 / _LEAST))
+        out[places] = digit
+        places += 1
+        lows = (lows - digit * _LEAST) * _DIGIT
+    size = places - begin
+    # A digit may carry into those before it.
+    out = out.reshape(lanes, -1)[:, : size.max()].copy()
+    out *= np.arange(out.shape[1]) < size[:, None]
+    while len(over := np.flatnonzero(out > 0xFFFF)):
+        out.ravel()[over] &= 0xFFFF
+        out.ravel()[over - 1] += 1
+    out = out.astype(">u2")
     return [out[k, : size[k]].tobytes() for k in range(lanes)]
 
 
@@ -142,45 +172,66 @@ def decode_blocks(payloads: list[bytes], n: int, f: np.ndarray, block: int = BLO
     if not lanes:
         return np.zeros(0, np.int64)
     short = n - (lanes - 1) * block
-    data = np.zeros((lanes, max(map(len, payloads)) // 2 + 2 * 8), np.uint64)
+    room = max(map(len, payloads)) // 2 + 2 * 8
+    data = np.zeros((lanes, room), np.uint16)
     for k, p in enumerate(payloads):
         data[k, : len(p) // 2] = np.frombuffer(p, ">u2")
-    slot = np.repeat(np.arange(len(f)), f)
-    state = _State(f, lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = code << _16 | data[:, k]
-    at = np.full(lanes, 4)
-    out = np.zeros((min(block, n), lanes), np.int64)
+    slot = np.repeat(np.arange(len(f), dtype=np.int32), f)
+    f = f.astype(float)
+    cum = np.cumsum(f) - f
+    model = _Model(lanes)
+    width, code = np.full(lanes, _TOP), data[:, :3] @ np.array([_LEAST, _DIGIT, 1.0])
+    data = data.ravel()
+    at, end = np.arange(lanes) * room + 3, np.arange(1, lanes + 1) * room - 1
+    out = np.zeros((min(block, n), lanes), np.int32)
+    last = before = np.zeros(lanes, np.int32)
     for t in range(len(out)):
-        m = lanes if t < short else lanes - 1
-        state.predict(m)
-        r = width[:m] // state.total.view(np.uint64)
-        target = np.minimum(((code[:m] - low[:m]) // r).view(np.int64), state.total - 1)
-        s = state.find(np.maximum(target, 0), slot)
-        start, freq = state.span(s)
-        low[:m] += r * start.view(np.uint64)
-        width[:m] = r * freq.view(np.uint64)
-        while True:
-            same = (low[:m] ^ (low[:m] + width[:m])) < _TOP
-            k = np.flatnonzero(same | (width[:m] < _LEAST))
-            if not len(k):
-                break
-            lk, wk = low[k], width[k]
-            wk = np.where(same[k], wk, (~lk + np.uint64(1)) & _LOW32)
-            code[k] = code[k] << _16 | data[k, np.minimum(at[k], data.shape[1] - 1)]
-            at[k] += 1
-            low[k], width[k] = lk << _16, wk << _16
-        state.learn(s)
-        out[t, :m] = s
+        if t == short:  # the last block has ended
+            width, code, at, end, last, before = (x[:-1] for x in (width, code, at, end, last, before))
+        entry = model.places(last, before)
+        e = model.table[entry]
+        wa, wb = _weights(e)
+        both = (wa + wb).astype(float)
+        wa = wa.astype(float)
+        r = np.floor(width / (both + TOTAL))
+        target = np.floor(code / r)
+        u = target - both
+        is_a, is_ab = target < wa, u < 0
+        s = slot[np.maximum(u, 0).astype(np.int64)]
+        start, freq = np.where(is_ab, wa, both + cum[s]), np.where(is_ab, wb, f[s])
+        start *= target >= wa
+        np.copyto(freq, wa, where=is_a)
+        s = np.where(is_ab, np.where(is_a, e[0], e[1]) >> np.int32(3), s)
+        code -= r * start
+        np.multiply(r, freq, out=width)
+        small = width < _LEAST
+        times = small * (_DIGIT - 1)
+        times += 1
+        code *= times
+        width *= times
+        code += data[at] * small
+        at += small
+        again = np.flatnonzero(width < _LEAST)
+        while len(again):
+            code[again] = code[again] * _DIGIT + data[at[again]]
+            width[again] *= _DIGIT
+            at[again] += 1
+            again = again[width[again] < _LEAST]
+            if (at > end).any():
+                raise IndexError
+        model.learn(entry, e, s << np.int32(3))
+        before, last = last, s
+        out[t, : len(s)] = s
     return out.T.ravel()[:n] if len(out) == block else out[:, 0]
 
 
 def encode_chunk(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
     """``(table, frames)`` of a chunk; a frame is its payload, the number of its ids and their checksum."""
     names, f = frequency_table(ids)
-    payloads = encode_blocks(np.searchsorted(names, ids), f, block)
+    rank = np.zeros(int(names[-1]) + 1 if len(names) else 0, np.int32)
+    rank[names] = np.arange(len(names))
+    ranks, some = rank[ids], block * LANES
+    payloads = [p for k in range(0, len(ids), some) for p in encode_blocks(ranks[k : k + some], f, block)]
     raw = ids.astype("<u4")
     ends = [np.array([len(x), zlib.crc32(x.tobytes())], "<u4").tobytes() for x in (raw[k : k + block] for k in range(0, len(ids), block))]
     return zlib.compress(np.concatenate([names, f]).astype("<u4").tobytes(), 1), [p + e for p, e in zip(payloads, ends)]
@@ -191,7 +242,12 @@ def decode_chunk(table: bytes, frames: list[bytes], block: int = BLOCK) -> np.nd
     both = np.frombuffer(zlib.decompress(table), "<u4")
     names, f = both[: len(both) // 2], both[len(both) // 2 :]
     ends = [np.frombuffer(x[-8:], "<u4") for x in frames]
-    ids = names[decode_blocks([x[:-8] for x in frames], int(sum(e[0] for e in ends)), f, block)].astype("<u4") if frames else np.zeros(0, "<u4")
+    try:
+        with np.errstate(all="ignore"):
+            runs = [decode_blocks([x[:-8] for x in frames[k : k + LANES]], int(sum(e[0] for e in ends[k : k + LANES])), f, block) for k in range(0, len(frames), LANES)]
+    except IndexError as e:
+        raise BrokenBlock("no id there") from e
+    ids = names[np.concatenate(runs)].astype("<u4") if frames else np.zeros(0, "<u4")
     for k, e in enumerate(ends):
         if zlib.crc32(ids[k * block : k * block + int(e[0])].tobytes()) != e[1]:
             raise BrokenBlock(f"block {k}")
@@ -202,7 +258,7 @@ _CHUNK = "part int, chunk int, first long, n_ids long, doc_ids array<long>, size
 
 
 def write(docs: DataFrame, path: str, folder: str, end: int = 0) -> None:
-    """Encode all documents in ascending order of ``doc_id`` (nulls first) into a table of chunks."""
+    """Encode all documents in ascending order of ``doc_id`` (nulls first, rows of one id by their texts' hash) into a table of chunks."""
 
     def encode(batches):
         enc = encoder(path, spaced=True)
@@ -215,6 +271,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 0) -> None:
         def flush():
             nonlocal held, names, sizes, waiting, chunk, first
             ids = np.concatenate(held)
+            held = []
             table, frames = encode_chunk(ids)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([table], pa.binary()), pa.array([frames], pa.list_(pa.binary()))], ["part", "chunk", "first", "n_ids", "doc_ids", "sizes", "table", "frames"])
             chunk, first = chunk + 1, first + len(ids)
@@ -231,12 +288,13 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 0) -> None:
                 names += own[lo:hi]
                 sizes += size.tolist()
                 waiting += len(whole)
-                if waiting >= BLOCK * LANES // 2:
+                if waiting >= BLOCK * LANES:
                     yield flush()
         if names:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The ranges are of ids alone: sampling them with the texts' hashes would read all texts twice.
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(tidy(encode), _CHUNK).write.option("compression", "none").parquet(folder)
 
 
@@ -264,7 +322,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Write all documents and read them back: ``doc_id, start, n_tokens, ids_crc32``.
 
     A null or empty text is one end mark. Repeated rows are written as often as they occur, in a run; null ids come
-    first. Other columns are not read. An empty table gives an empty result.
+    first; rows of one ``doc_id`` stand in the order of their texts' hashes. Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"

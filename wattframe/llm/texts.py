@@ -21,7 +21,19 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
 _LOWERED = _BYTE[LOWER]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(1 << 16, 0xD6E8FEB86659FD93, np.uint64))
+_P = 0xD6E8FEB86659FD93
+_powers: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2 ** 64; kept for slabs of usual size."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    size = max(n, SLAB + 1)
+    found = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_P, pow(_P, -1, 1 << 64))]
+    if size <= 2 * SLAB:
+        _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 #: Rows that go to a Python worker together; texts may be long.
@@ -105,13 +117,13 @@ def words(data: np.ndarray, offs: np.ndarray, white: np.ndarray = WHITE, folded:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
     doc = np.searchsorted(offs, start, "right") - 1
-    place = np.arange(n, dtype=np.int64)
-    place[start[0] :] -= np.repeat(start, np.diff(np.append(start, n)))
-    value = (_LOWERED if folded else _BYTE)[data] * _POWERS[place & 0xFFFF]
-    if place[start[0] :].max() > 0xFFFF:
-        value = mix(value + (place >> 16).astype(np.uint64) * _STEP)
-    value[~black] = 0
-    return start, end, doc, mix(np.add.reduceat(value, start) + (end - start).astype(np.uint64) * _STEP)
+    forward, back = powers(n + 1)
+    value = (_LOWERED if folded else _BYTE)[data]
+    value *= forward[:n]
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(value, out=total[1:])
+    return start, end, doc, mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * _STEP)
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, n: int, short_whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 """Token ids of whole texts, with the ids of their parts remembered by each worker.
 
 A byte-level or word-level BPE never merges across the boundary between a word and the white space after it, so a text's
-ids are the ids of its parts in order. Parts are found and hashed as arrays over the bytes of many texts, looked up in an
+ids are the ids of its parts in order; nor across the one between a letter and a full stop or comma. Parts are found and hashed as arrays over the bytes of many texts, looked up in an
 open-addressing table of 64-bit hashes (beside the length, first and last byte of the part), and only new parts go to the
 tokenizers library, hundreds joined in one call. The table is bounded: when it is full it is emptied. With byte-level
 vocabularies a text that holds white space beyond ASCII is encoded whole, because there a run of mixed white space is not
@@ -18,11 +18,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from wattframe.llm.texts import LOWER, mix, slabs, words
+from wattframe.llm.texts import LOWER, WHITE, mix, slabs, words
 
 #: Parts that a worker remembers (about 50 bytes each), and how many are joined for one call of the library.
 REMEMBERED, JOINED = 1 << 20, 256
 _END = "</w>"
+_MARK, _LETTER = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", bytes(range(65, 91)) + bytes(range(97, 123))))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[tuple[str, bool], Encoder] = {}
 
@@ -36,6 +37,16 @@ def _odd(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def _tails(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where one mark that no rule joins to others stands between an ASCII letter and white space or the end of a text: a part of its own."""
+    at = np.flatnonzero(_MARK[data])
+    ends = np.zeros(len(data) + 1, bool)
+    ends[offs] = True
+    padded = np.append(data, 0x20)
+    at = at[(at > 0) & (ends[at + 1] | WHITE[padded[at + 1]])]
+    return at[_LETTER[data[at - 1]] & ~ends[at]]
+
+
 class Encoder:
     """``spaced``: the white space before a word belongs to its part (byte-level vocabularies); else it is dropped."""
 
@@ -140,7 +151,15 @@ class Encoder:
 
     def _parts(self, data: np.ndarray, offs: np.ndarray):
         """``start, end, document, key, check, plain`` of each part; ``plain`` parts may be joined."""
-        start, end, doc, key = words(data, offs, folded=not self.spaced)
+        tail = _tails(data, offs)
+        bare = data.copy()
+        bare[tail] = 0x20
+        start, end, doc, key = words(bare, offs, folded=not self.spaced)
+        if len(tail):
+            order = np.argsort(np.concatenate([start, tail]), kind="stable")
+            start, end = np.concatenate([start, tail])[order], np.concatenate([end, tail + 1])[order]
+            doc = np.concatenate([doc, np.searchsorted(offs, tail, "right") - 1])[order]
+            key = np.concatenate([key, mix(data[tail].astype(np.uint64) + np.uint64(1 << 40))])[order]
         first = data[start].astype(np.uint32)
         last = data[end - 1].astype(np.uint32)
         if not self.spaced:
