@@ -274,9 +274,11 @@ def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), rid.take(pa.array(lo + doc, pa.int64())), pa.array(pos, pa.int64()), pa.array(size, pa.int64())], ["h", "ctx", "rid", "pos", "size"])
 
     found = stored(rows.select("rid", "body").mapInArrow(tidy(find), "h long, ctx long, rid binary, pos long, size long"), "suffix-found")
-    twice = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("open")).where("n > 1").select("h", "open")
+    # Stored, so that the join may split a partition with a frequent anchor.
+    twice = stored(found.groupBy("h").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("open")).where("n > 1").select("h", "open"), "suffix-twice")
     met = stored(found.join(twice, "h").groupBy("h", "ctx", "rid", "pos", "size", "open").agg(F.count("*").alias("rows")), "suffix-anchors")
     drop_stored(found)
+    drop_stored(twice)
     unsure = met.where("open").groupBy("h", "ctx").agg(F.min(F.struct("rid", "pos")).alias("one"), F.sum("rows").alias("copies"))
     contexts = stored(_contexts(rows, unsure.select("h", "ctx", "copies", "one.rid", "one.pos"), length, k).dropDuplicates(["h", "ctx"]), "suffix-contexts")
     many = contexts.groupBy("h").count().where(F.col("count") > HOT).select("h").limit(1).count() > 0
