@@ -186,10 +186,17 @@ def _held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(measured: DataFrame, labels: DataFrame) -> Model:
-    """Fitted on the labelled rows outside the held-out fold; at most ``TRAIN_ROWS`` of them, those with the smallest hash."""
-    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = measured.where(~_held_out()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select("features", "quality").collect()
+def _wanted(labels: DataFrame):
+    """Labelled rows outside the held-out fold, one for each ``doc_id`` (the greater label, where there are two), and the hash below which about 1.2 ``TRAIN_ROWS`` of them lie."""
+    known = labels.where("quality in (0, 1) and doc_id is not null").where(~_held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    n = known.count()
+    return known, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, 1.2 * TRAIN_ROWS / max(n, 1)) * (1 << 30))
+
+
+def train(measured: DataFrame, known: DataFrame, below) -> Model:
+    """Fitted on at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash. No more than about 1.2 times as many are sorted, however many there are."""
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    rows = measured.where(below).join(known.where(below), "doc_id").orderBy(hashed, "doc_id", "features").limit(TRAIN_ROWS).select("features", "quality").collect()
     return fit(np.array([r.features for r in rows]).reshape(-1, len(FEATURES)), np.array([r.quality for r in rows], float))
 
 
@@ -197,11 +204,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``.
 
     ``score`` (0 to 1) tells how likely label 1 is and depends on the text alone; ``predicted`` is 1 from 0.5 on. A null
-    text counts as empty, and an empty text has a score like any other. Repeated rows have equal scores; a row with a
+    text counts as empty, and an empty text has a score like any other. Repeated rows have equal scores, and train as often
+    as they occur; of two labels of a document the greater counts. A row with a
     null ``doc_id`` is scored and not held out. Without labels every score is 0.5. Other columns are not read.
     """
     measured = stored(with_features(docs), "quality-features")
-    model = train(measured, labels)
+    model = train(measured, *_wanted(labels))
 
     def score(batches):
         for batch in batches:
@@ -213,8 +221,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def of_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a score of at least 0.5, with all their columns. Rows are not shuffled: each is scored where it is read."""
-    model = train(_labelled(docs, labels), labels)
+    """The rows of ``docs`` with a score of at least 0.5, with all their columns, by the model that :func:`scored` has. Rows are not shuffled: each is scored where it is read."""
+    known, below = _wanted(labels)
+    model = train(with_features(docs.where(below).join(known.select("doc_id"), "doc_id", "left_semi")), known, below)
     at = docs.columns.index("text")
 
     def keep(batches):
@@ -225,11 +234,3 @@ def of_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(ok))
 
     return docs.mapInArrow(tidy(keep), docs.schema)
-
-
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Features of a bounded share of the labelled documents, chosen by hash."""
-    n = labels.where("quality in (0, 1)").count()
-    below = min(1.0, 1.2 * TRAIN_ROWS / max(n, 1))
-    chosen = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(below * (1 << 30))) & F.col("doc_id").isNotNull()
-    return with_features(docs.where(chosen).join(labels.where("quality in (0, 1)").select("doc_id").distinct(), "doc_id", "left_semi"))
