@@ -11,13 +11,13 @@ SF = "/root/testdata/sf0.001"
 def test_round_trips_hold_the_whole_network(spark, monkeypatch, name):
     seen, plain = [], catalog_more.execute
     monkeypatch.setattr(catalog_more, "execute", lambda net, text: seen.append(net) or plain(net, text))
-    out = {r.type: r["COUNT(*)"] for r in catalog.queries()[name](spark, SF).collect()}
+    out = {(r.feeder, r.type, r.state): (r["COUNT(*)"], r["COUNT(depth)"]) for r in catalog.queries()[name](spark, SF).collect()}
     net = catalog.network(spark, SF)
     rows = lambda n: sorted((r.mrid, r.type, r.feeder or "", r.substation or "", r.state or "", r.kw or 0, r.kva or 0) for r in n.objects.collect())
     pairs = lambda n: sorted((r.mrid, r.node) for r in n.terminals.collect())
     assert rows(seen[0]) == rows(net) and len({r[2] for r in rows(net)}) == 26
     assert len(pairs(seen[0])) == len(pairs(net))
-    assert out == {r.type: r["count"] for r in net.objects.where("is_device and feeder = 'FDR-1' and mrid <> 'BRK-1'").groupBy("type").count().collect()}
+    assert out == {(r.feeder, r.type, r.state): (r["count"], r["count"]) for r in net.objects.where("is_device").groupBy("feeder", "type", "state").count().collect()}
 
 
 def test_validation_counts_dark_sections_with_a_generator(spark):
@@ -57,3 +57,13 @@ def test_an_exact_mrid_wins_over_many_names(spark):
     assert net.find("X").mrid == "X" and net.find("x").mrid == "X"
     with pytest.raises(NameProblem):
         net.find("y")
+
+
+def test_switching_twice(spark):
+    net = catalog.network(spark, SF)
+    state = lambda rows: {r.mrid: r.state for r in net.with_state(spark.createDataFrame(rows, "mrid string, state string")).objects.where("type = 'recloser'").collect()}
+    plain = state([("nothing", "OPEN")])
+    one = sorted(plain)[0]
+    assert state([(one, "open"), (one, "OPEN")]) == plain | {one: "OPEN"}
+    with pytest.raises(Exception, match="two states"):
+        state([(one, "open"), (one, "CLOSED")])

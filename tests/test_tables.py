@@ -109,3 +109,28 @@ def test_config(tmp_path, monkeypatch):
         (tmp_path / "bad").write_text(text)
         with pytest.raises(WattError):
             load_config(f"{tmp_path}/bad")
+
+
+def test_typed_values_as_text(spark):
+    from pyspark.sql import functions as F
+
+    from wattframe.sources.tables import plain_text
+
+    numbers = [12345678.0, 0.0005, -1.5e-7, 1e16, 123456789.25, -3.0, 1e22, 1.25e20, 99999999999.5, 0.001, 1e7]
+    want = ["12345678.0", "0.0005", "-0.00000015", "10000000000000000", "123456789.25", "-3.0", "10000000000000000000000", "125000000000000000000", "99999999999.5", "0.001", "10000000.0"]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    assert [r[0] for r in df.select(plain_text(F.col("x"), "double")).collect()] == want
+    one = spark.sql("select timestamp'2024-01-02 03:04:05' as t, date'2024-01-02' as d, binary('ab') as b, array(1, 2) as a, true as f, cast(1.50 as decimal(9, 2)) as n, double('nan') as x")
+    assert list(one.select(*(plain_text(F.col(c), t) for c, t in one.dtypes)).first()) == ["2024-01-02T03:04:05", "2024-01-02", "6162", "[1,2]", "true", "1.50", "NaN"]
+
+
+def test_quantities_of_doubles_are_not_lost(spark, tmp_path):
+    spark.createDataFrame([(12345678.0, 12345678.0), (7.0, 0.0005)], "id double, kw double").write.parquet(str(tmp_path / "load.parquet"))
+    net = read_folder(spark, str(tmp_path), """
+[[devices]]
+file = "load.parquet"
+mrid = "L-{id}"
+type = { value = "load" }
+kw = { column = "kw", unit = "kW" }
+""")
+    assert sorted((r.mrid, r.kw) for r in net.objects.where("is_device").collect()) == [("L-12345678.0", 12345678.0), ("L-7.0", 0.0005)]

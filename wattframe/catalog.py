@@ -5,11 +5,13 @@ A network is made once per session and folder; its trees and energy are stored t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wattframe.network import Network
+from wattframe.operators.storage import shared_folder
 from wattframe.plans.compiler import execute, execute_script
 from wattframe.sources.testgrid import DEVICES, grid
 
@@ -19,7 +21,11 @@ _made: dict[tuple[str, str], Network] = {}
 def network(spark: SparkSession, sf_dir: str) -> Network:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _made:
-        _made[key] = grid(spark, sf_dir)
+        # Stored once: every query, name lookup and tree reads tables laid out by feeder, not the join that made them.
+        path = f"{shared_folder(spark)}/grid-{uuid.uuid4().hex}"
+        grid(spark, sf_dir).save(path)
+        loaded = Network.load(spark, path)
+        _made[key] = Network(loaded.objects, loaded.terminals, loaded.links, source=sf_dir)
     return _made[key]
 
 

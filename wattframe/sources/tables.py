@@ -32,8 +32,25 @@ def _lookup(values: dict) -> Column:
     return F.create_map(*[F.lit(str(x)) for pair in values.items() for x in pair])
 
 
-def bind(rule, columns: list[str], given: dict[str, str] | None = None) -> Column:
-    """A field's text by its rule, over a table of these columns; names match without case, and a column that is missing is an error."""
+def plain_text(c: Column, kind: str) -> Column:
+    """A typed value as the text that a file's cell would hold: numbers without an exponent, times with a ``T``, bytes in hexadecimal, nested values as JSON."""
+    if kind in ("double", "float"):
+        text = c.cast("string")
+        e = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
+        digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^-?(\d+\.\d+)E", 1), r"\.?0*$", ""), r"\.", "")
+        whole, size = F.rpad(digits, e + 1, "0"), F.length(digits)
+        large = F.when(size > e + 1, F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, size))).otherwise(F.concat(whole, F.when(e < 16, ".0").otherwise("")))
+        written = F.when(e >= 0, large).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+        return F.when(text.contains("E"), F.concat(F.when(text.startswith("-"), "-").otherwise(""), written)).otherwise(text)
+    if kind == "timestamp" or kind == "timestamp_ntz":
+        return F.regexp_replace(c.cast("string"), " ", "T")
+    if kind == "binary":
+        return F.lower(F.hex(c))
+    return F.to_json(c) if re.match("array|map|struct", kind) else c.cast("string")
+
+
+def bind(rule, columns: list[str] | dict[str, str], given: dict[str, str] | None = None) -> Column:
+    """A field's text by its rule, over a table of these columns, which may come with their types; names match without case, and a column that is missing is an error."""
     if isinstance(rule, str):
         rule = {"template": rule} if "{" in rule else {"column": rule}
     lower = {c.lower(): c for c in columns}
@@ -41,7 +58,8 @@ def bind(rule, columns: list[str], given: dict[str, str] | None = None) -> Colum
     def column(name: str) -> Column:
         if name.lower() not in lower:
             raise NameProblem(f"the table has no column '{name}'", name, lower)
-        text = F.trim(F.col(f"`{lower[name.lower()]}`").cast("string"))
+        own = lower[name.lower()]
+        text = F.trim(plain_text(F.col(f"`{own}`"), columns[own] if isinstance(columns, dict) else "string"))
         return F.when(text != "", text)
 
     if "value" in rule:
@@ -76,7 +94,7 @@ def _section(rule: dict, df: DataFrame, rank: int) -> DataFrame:
         if k not in _FIELDS:
             raise NameProblem(f"no field is called '{k}'", k, _FIELDS)
     used = {w.lower() for r in fields.values() for w in ([r] if isinstance(r, str) and "{" not in r else re.findall(r"\{([^}]*)\}", r if isinstance(r, str) else r.get("template", "")) + ([r["column"]] if isinstance(r, dict) and "column" in r else []))}
-    out = {k: bind(r, df.columns) for k, r in fields.items()}
+    out = {k: bind(r, dict(df.dtypes)) for k, r in fields.items()}
     if rule.get("extras", True):
         for c, t in df.dtypes:
             if c.lower() not in used and not re.match("binary|array|map|struct", t):
