@@ -7,7 +7,7 @@ is logarithmic in practice. Every round ends in a table in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wattframe.operators.storage import drop_stored, stored
@@ -35,8 +35,10 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
     state = None
     for _ in range(max_rounds):
-        new = stored(_small_star(_large_star(now)), "stars")
-        said = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # The edges are distinct: their number and the exclusive or of their hashes tell whether a round has changed them. Both are seen while they are written.
+        seen = Observation()
+        new = stored(_small_star(_large_star(now)).observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("hash")), "stars")
+        said = seen.get["n"], seen.get["hash"]
         drop_stored(now)
         now = new
         if said == state:
