@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,11 +171,13 @@ def _bitmap(df: DataFrame, column: str) -> np.ndarray:
     return table.view(np.uint8)
 
 
-_CONTEXT = "h long, ctx long, copies long, left int, piece binary, rid binary, pos long"
+_CONTEXT = "h long, ctx long, copies long, left int, piece binary, rid binary, pos long, slab long"
+_PLACE = ("copies", "rid", "pos", "slab")
+_FOUND = "copies long, rid binary, pos long, slab long, first int, last int"
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
-    """``(h, ctx, copies, left, piece, rid, pos)``: the bytes and the place of one copy of each wanted context."""
+    """Rows of ``_CONTEXT``: the bytes and the place of one copy of each wanted context."""
     table = _bitmap(wanted, "rid")
 
     def near(batches):
@@ -186,7 +189,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFr
 
     texts = rows.select("rid", "body", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).cast("int").alias("bit")).mapInArrow(tidy(near), "rid binary, body binary")
     # Rows with equal texts have one rid: any of them serves, so the places of a text are kept once and the copies dropped by the last aggregate.
-    places = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "ctx", "copies", "pos")).alias("places"))
+    places = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "ctx", "copies", "pos", "slab")).alias("places"))
 
     def cut(batches):
         for batch in batches:
@@ -195,7 +198,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFr
                 pos = places.field("pos").to_numpy()
                 lo, hi = np.maximum(0, pos - (length - k)), np.minimum(len(body), pos + length)
                 pieces = [body[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
-                yield pa.RecordBatch.from_arrays([*(places.field(x) for x in ("h", "ctx", "copies")), pa.array((length - k - (pos - lo)).astype(np.int32)), pa.array(pieces, pa.binary()), pa.array([batch.column(0)[row].as_py()] * len(pos), pa.binary()), places.field("pos")], ["h", "ctx", "copies", "left", "piece", "rid", "pos"])
+                yield pa.RecordBatch.from_arrays([*(places.field(x) for x in ("h", "ctx", "copies")), pa.array((length - k - (pos - lo)).astype(np.int32)), pa.array(pieces, pa.binary()), pa.array([batch.column(0)[row].as_py()] * len(pos), pa.binary()), places.field("pos"), places.field("slab")], ["h", "ctx", "copies", "left", "piece", "rid", "pos", "slab"])
 
     return texts.join(places, "rid").select("rid", "body", "places").mapInArrow(tidy(cut), _CONTEXT)
 
@@ -222,7 +225,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, k: int) -> It
         first, last = sort_columns(rows, left, right, h, length, k)
         hit = np.flatnonzero(last >= 0)
         kept = table.take(pa.array(hit)).combine_chunks()
-        return pa.RecordBatch.from_arrays([*(kept.column(x).combine_chunks() for x in ("copies", "rid", "pos")), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], ["copies", "rid", "pos", "first", "last"])
+        return pa.RecordBatch.from_arrays([*(kept.column(x).combine_chunks() for x in _PLACE), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], [*_PLACE, "first", "last"])
 
     for batch in batches:
         held.append(batch)
@@ -253,49 +256,78 @@ def _counted(contexts: DataFrame, length: int, k: int) -> DataFrame:
                 col = at - offs[row] + left[lo + row]
                 ok = (at + length <= offs[row + 1]) & (col <= length - k)
                 at, row, col = at[ok], row[ok], col[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(h[lo + row]), *(batch.column(x).take(pa.array(lo + row)) for x in ("copies", "rid", "pos")), pa.array(col.astype(np.int32)), pa.array(hashes.of(at, at + length).view(np.int64))], ["h", "copies", "rid", "pos", "col", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[lo + row]), *(batch.column(x).take(pa.array(lo + row)) for x in _PLACE), pa.array(col.astype(np.int32)), pa.array(hashes.of(at, at + length).view(np.int64))], ["h", *_PLACE, "col", "s"])
 
-    each = contexts.mapInArrow(tidy(strings), "h long, copies long, rid binary, pos long, col int, s long")
+    each = contexts.mapInArrow(tidy(strings), "h long, copies long, rid binary, pos long, slab long, col int, s long")
     twice = each.groupBy("h", "col", "s").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return each.join(twice, ["h", "col", "s"], "left_semi").groupBy("copies", "rid", "pos").agg(F.min("col").alias("first"), F.max("col").alias("last"))
+    return each.join(twice, ["h", "col", "s"], "left_semi").groupBy(*_PLACE).agg(F.min("col").alias("first"), F.max("col").alias("last"))
 
 
 def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
-    """``(rid, spans)`` from ``(rid binary, body binary)``: the bytes covered by a string of ``length`` bytes that also starts elsewhere, as runs ``(s, e)`` in order that may overlap (:func:`merged`). Rows of one ``rid`` have equal bodies and count as often as they occur."""
+    """``(rid, spans)`` from ``(rid binary, body binary)``: the maximal runs ``(s, e)`` of bytes covered by a string of ``length`` bytes that also starts elsewhere, in order. Rows of one ``rid`` have equal bodies and count as often as they occur."""
     k = min(GRAM, max(1, length // 4))
     before = length - k
 
     def find(batches):
+        slab = TaskContext.get().partitionId() << 32
         for batch in batches:
-            rid = batch.column(0)
             for lo, _, data, offs in slabs(batch.column(1), SEGMENT):
-                for h, ctx, doc, pos in _anchors_of(data, offs, length, k):
-                    size = np.diff(offs)[doc] if len(doc) else doc
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), rid.take(pa.array(lo + doc, pa.int64())), pa.array(pos, pa.int64()), pa.array(size, pa.int64())], ["h", "ctx", "rid", "pos", "size"])
-
-    found = stored(rows.select("rid", "body").mapInArrow(tidy(find), "h long, ctx long, rid binary, pos long, size long"), "suffix-found")
+                slab += 1
+                h, ctx, doc, pos = (np.concatenate(x) for x in zip(*_anchors_of(data, offs, length, k)))
+                if not len(h):
+                    continue
+                order = np.lexsort((pos, doc, ctx, h))
+                h, ctx, doc, pos = h[order], ctx[order], doc[order], pos[order]
+                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))
+                ends = np.append(new, len(h))
+                places = pa.StructArray.from_arrays([batch.column(0).take(pa.array(lo + doc)), pa.array(pos), pa.array(np.diff(offs)[doc])], ["rid", "pos", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ctx[new]), pa.array(np.diff(ends)), pa.array(np.full(len(new), slab)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)], ["h", "ctx", "n", "slab", "places"])
+
+    # The places of one context in one slab are a row: what very many texts have is gathered before it is shuffled.
+    found = stored(rows.select("rid", "body").mapInArrow(tidy(find), "h long, ctx long, n long, slab long, places array<struct<rid: binary, pos: bigint, size: bigint>>"), "suffix-found")
     # Stored, so that the join may split a partition with a frequent anchor.
-    twice = stored(found.groupBy("h").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("open")).where("n > 1").select("h", "open"), "suffix-twice")
-    met = stored(found.join(twice, "h").groupBy("h", "ctx", "rid", "pos", "size", "open").agg(F.count("*").alias("rows")), "suffix-anchors")
+    twice = stored(found.groupBy("h").agg(F.sum("n").alias("all"), (F.min("ctx") != F.max("ctx")).alias("open")).where("all > 1").select("h", "open"), "suffix-twice")
+    met = stored(found.join(twice, "h").select("h", "ctx", "n", "slab", "open", "places"), "suffix-anchors")
     drop_stored(found)
     drop_stored(twice)
-    unsure = met.where("open").groupBy("h", "ctx").agg(F.min(F.struct("rid", "pos")).alias("one"), F.sum("rows").alias("copies"))
-    contexts = stored(_contexts(rows, unsure.select("h", "ctx", "copies", "one.rid", "one.pos"), length, k).dropDuplicates(["h", "ctx"]), "suffix-contexts")
+    one = F.struct(F.col("places")[0]["rid"].alias("rid"), F.col("places")[0]["pos"].alias("pos"), "slab")
+    unsure = met.where("open").groupBy("h", "ctx").agg(F.min(one).alias("one"), F.sum("n").alias("copies")).select("h", "ctx", "copies", "one.*")
+    contexts = stored(_contexts(rows, unsure, length, k).dropDuplicates(["h", "ctx"]), "suffix-contexts")
     many = contexts.groupBy("h").count().where(F.col("count") > HOT).select("h").limit(1).count() > 0
     some = contexts
     if many:
         hot = stored(contexts.groupBy("h").count().where(F.col("count") > HOT).select("h"), "suffix-hot")
         some = contexts.join(hot, "h", "left_anti")
-    answers = some.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(lambda b: _sorted_groups(b, length, k)), "copies long, rid binary, pos long, first int, last int")
+    answers = some.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(lambda b: _sorted_groups(b, length, k)), _FOUND)
     if many:
         answers = answers.unionByName(_counted(contexts.join(hot, "h", "left_semi"), length, k))
     # A context that occurs twice repeats as a whole, wherever it stands; one that occurs once has its place with it.
-    whole = contexts.where("copies > 1").select("h", "ctx")
-    start, end = F.greatest(F.col("pos") - before, F.lit(0)), F.least(F.col("pos") + length, F.col("size"))
-    sure = met.where("not open").select("rid", start.alias("s"), end.alias("e"))
-    copied = met.where("open").join(whole, ["h", "ctx"], "left_semi").select("rid", start.alias("s"), end.alias("e"))
-    part = answers.where("copies = 1").select("rid", (F.col("pos") - before + F.col("first")).alias("s"), (F.col("pos") - before + F.col("last") + length).alias("e"))
-    return sure.unionByName(copied).unionByName(part).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    whole = contexts.where("copies > 1").select("h", "ctx", F.lit(True).alias("whole"))
+    span = lambda rid, lo, hi: F.struct(rid.alias("rid"), lo.cast("long").alias("s"), hi.cast("long").alias("e"))
+    every = F.transform("places", lambda p: span(p["rid"], F.greatest(p["pos"] - before, F.lit(0)), F.least(p["pos"] + length, p["size"])))
+    sure = met.join(whole, ["h", "ctx"], "left").where("not open or whole").select("slab", every.alias("spans"))
+    part = answers.where("copies = 1").select("slab", F.array(span(F.col("rid"), F.col("pos") - before + F.col("first"), F.col("pos") - before + F.col("last") + length)).alias("spans"))
+    of_slabs = sure.unionByName(part).groupBy("slab").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # no more than a slab or a long text has
+
+    def by_text(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                rid = x.values.field("rid").dictionary_encode()
+                yield pa.RecordBatch.from_arrays([rid.dictionary, _runs(rid.indices.to_numpy().astype(np.int64), *(x.values.field(k).to_numpy() for k in ("s", "e")))], ["rid", "spans"])
+
+    # Rows of one text have equal spans in all of their slabs.
+    return of_slabs.select("spans").mapInArrow(tidy(by_text), "rid binary, spans array<struct<s: bigint, e: bigint>>").groupBy("rid").agg(F.first("spans").alias("spans"))
+
+
+def _runs(text: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.ListArray:
+    """The spans of each text in order, joined where they touch; the texts are numbered from 0 without a gap."""
+    order = np.lexsort((s, text))
+    apart = text[order] * (int(e.max()) + 2)
+    s, e = s[order] + apart, np.maximum.accumulate(e[order] + apart)
+    new = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
+    last = np.append(new[1:], len(s)) - 1
+    ends = np.append(0, np.cumsum(np.bincount(text[order][new])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(s[new] - apart[new]), pa.array(e[last] - apart[new])], ["s", "e"]))
 
 
 def _stored_spans(rows: DataFrame, length: int) -> DataFrame:
@@ -306,15 +338,8 @@ def _stored_spans(rows: DataFrame, length: int) -> DataFrame:
     return spans
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Runs in order, joined where they touch."""
-    out: list[tuple[int, int]] = []
-    for x in spans or ():
-        if out and x["s"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], x["e"]))
-        else:
-            out.append((x["s"], x["e"]))
-    return out
+def _pairs(spans: list[dict] | None) -> list[tuple[int, int]]:
+    return [(x["s"], x["e"]) for x in spans or ()]
 
 
 def _kept(body: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -343,7 +368,7 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     def digest(batches):
         for batch in batches:
-            ids, bodies, spans = batch.column(0), batch.column(1).to_pylist(), list(map(merged, batch.column(2).to_pylist()))
+            ids, bodies, spans = batch.column(0), batch.column(1).to_pylist(), list(map(_pairs, batch.column(2).to_pylist()))
             kept = list(map(_kept, bodies, spans))
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(b) for b in bodies], pa.int64()), pa.array([len(b) - len(x) for b, x in zip(bodies, kept)], pa.int64()), pa.array(list(map(len, spans)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -381,7 +406,7 @@ def cut_texts(docs: DataFrame, length: int = 200) -> DataFrame:
 
     def rest(batches):
         for batch in batches:
-            left = [t if s is None else _whole_chars(t.encode(), merged(s)) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
+            left = [t if s is None else _whole_chars(t.encode(), _pairs(s)) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
             yield batch.select(range(len(names))).set_column(at, "text", pa.array(left, pa.string()))
 
     touched, clean = _divided(rows, spans, "_wf_rid")
