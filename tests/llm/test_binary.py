@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from wattframe.llm import op10_binary as op
+from wattframe.llm import tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -70,3 +71,16 @@ def test_documents(spark):
     twice = op.round_trip(spark.createDataFrame([(None, "a"), (3, "b"), (3, "b")], "doc_id long, text string"), PATH).collect()
     assert sorted(r.start for r in twice) == [0, 2, 4]
     assert op.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_frequent_parts_outlive_a_full_table(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 60)
+    enc, learnt, learn = tokens.Encoder(PATH, spaced=True), [], tokens.Encoder._learn
+    monkeypatch.setattr(tokens.Encoder, "_learn", lambda self, data, start, end, *rest: learnt.extend(data[a:b].tobytes() for a, b in zip(start, end)) or learn(self, data, start, end, *rest))
+    texts = [f"the same words and number{k} {k * 7919} again" for k in range(300)]
+    found = [enc.encode([t])[0].tolist() for t in texts]
+    plain = Tokenizer.from_file(PATH)
+    assert found == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert learnt.count(b" words") == 1 and enc.count <= 60
+    many = [" ".join(f"{w}{k}" for k in range(100)) for w in "ab"]  # more at once than there is room for
+    assert [enc.encode([t])[0].tolist() for t in many * 2] == [plain.encode(t, add_special_tokens=False).ids for t in many * 2]

@@ -3,7 +3,7 @@
 A byte-level or word-level BPE never merges across the boundary between a word and the white space after it, so a text's
 ids are the ids of its parts in order; nor across the one between a letter and a full stop or comma. Parts are found and hashed as arrays over the bytes of many texts, looked up in an
 open-addressing table of 64-bit hashes (beside the length, first and last byte of the part), and only new parts go to the
-tokenizers library, hundreds joined in one call. The table is bounded: when it is full it is emptied. With byte-level
+tokenizers library, hundreds joined in one call. The table is bounded: when it is full, only parts stay that have come back since they were learnt or it was last full. With byte-level
 vocabularies a text that holds white space beyond ASCII is encoded whole, because there a run of mixed white space is not
 cut where ASCII white space begins.
 """
@@ -67,9 +67,18 @@ class Encoder:
 
     def forget(self) -> None:
         self.count = self.used = 0
-        self.flat, self.start = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+        self.flat, self.start, self.again = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
         self._table(1 << 13)
 
+    def shrink(self) -> None:
+        """Forget parts that have not come back; all of them, if half of the room would still be taken."""
+        held = np.flatnonzero(self.keys)
+        held = held[self.again[self.number[held]]]
+        key, check, (ids, sizes) = self.keys[held], self.checks[held], self._of(self.number[held])
+        self.forget()
+        if len(key) <= REMEMBERED // 2:
+            self._put(key, check, ids, sizes)
+
     def _table(self, slots: int) -> None:
         self.keys, self.checks, self.number = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.int32)
 
@@ -103,7 +112,7 @@ class Encoder:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.start, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.again))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[self.count + 1 : n + 1] = self.used + np.cumsum(sizes)
         if 2 * n > len(self.keys):
@@ -196,12 +205,13 @@ class Encoder:
         start, end, doc, key, check, plain = self._parts(data, offs)
         n = self._find(key, check)
         miss = np.flatnonzero(n < 0)
+        self.again[n if not len(miss) else n[n >= 0]] = True
         while len(miss):
             new = miss[np.unique(key[miss], return_index=True)[1]]
             if self.count and self.count + len(new) > REMEMBERED:
-                self.forget()
-                n[:] = -1
-                miss = np.arange(len(n))
+                self.shrink()  # marks nothing, so that a second one in this loop would keep nothing
+                n = self._find(key, check)
+                miss = np.flatnonzero(n < 0)
                 continue
             self._learn(data, start[new], end[new], key[new], check[new], plain[new])
             n[miss] = self._find(key[miss], check[miss])
