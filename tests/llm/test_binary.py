@@ -9,6 +9,8 @@ from tokenizers import Tokenizer
 
 from wattframe.llm import op10_binary as op
 from wattframe.llm import tokens
+from wattframe.llm.texts import marked
+from wattframe.llm.texts import slabs as tokens_slabs
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -132,3 +134,18 @@ def test_no_step_branches_by_lane(monkeypatch):
     monkeypatch.setattr(op.np, "where", None)
     ids = (np.random.default_rng(3).zipf(1.3, 9000) % 5000).astype(np.uint32)
     assert (op.decode_chunk(*op.encode_chunk(ids, 512), 512) == ids).all()
+
+
+def test_marks_at_every_end(monkeypatch):
+    """Parts that end in marks, at ends of texts and of slabs, with a table that moves parts on to later places."""
+    lib = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(tokens, "mix", lambda x: x & np.uint64(~0xFFF & (1 << 64) - 1))  # all start from few places
+    texts = ["end.", ".", "", "a.", "b,c. d;", "é. x!", "x.\n", "no end", "!? !", "word word. word," * 3]
+    for size in (1, 5, 1 << 20):
+        monkeypatch.setattr(tokens, "slabs", lambda column, size=size: tokens_slabs(column, size))
+        enc = tokens.Encoder(PATH, spaced=True)
+        for _ in range(2):
+            ids, offs = enc.encode(texts)
+            assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    data = np.arange(256, dtype=np.uint8)[::-1]
+    assert (marked(data, tokens.WHITE) == tokens.WHITE[data]).all() and len(marked(data[:0], tokens.WHITE)) == 0

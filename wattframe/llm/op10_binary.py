@@ -322,8 +322,10 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 0) -> None:
             own = batch.column(0).to_pylist()
             for lo, hi, ids, offs in enc.runs(batch.column(1)):
                 size = np.diff(offs) + 1
-                whole = np.full(len(ids) + hi - lo, end, np.uint32)
-                whole[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), size - 1)] = ids
+                closes = np.zeros(len(ids) + hi - lo, bool)
+                closes[np.cumsum(size) - 1] = True
+                whole = np.full(len(closes), end, np.uint32)
+                whole[~closes] = ids
                 held.append(whole)
                 names += own[lo:hi]
                 sizes += size.tolist()

@@ -97,13 +97,18 @@ def slabs(column: pa.Array, limit: int = SLAB) -> Iterator[tuple[int, int, np.nd
         lo = hi
 
 
+def marked(data: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Whether each byte is one of ``which``, a table of 256 truth values: faster than ``which[data]``."""
+    return np.frombuffer(data.tobytes().translate(which.tobytes()), bool)
+
+
 def words(data: np.ndarray, offs: np.ndarray, white: np.ndarray = WHITE, folded: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(start, end, document, hash)`` of every run of bytes outside ``white`` (ASCII white space, unless told otherwise); if ``folded``, A-Z count as a-z in the hash."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
-    black = ~white[data]
+    black = marked(data, ~white)
     first, last = black.copy(), black.copy()
     first[1:] &= ~black[:-1]
     last[:-1] &= ~black[1:]

@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from wattframe.llm.texts import LOWER, WHITE, mix, slabs, words
+from wattframe.llm.texts import LOWER, WHITE, marked, mix, slabs, words
 
 #: Parts that a worker remembers (about 50 bytes each), and how many are joined for one call of the library.
 REMEMBERED, JOINED = 1 << 20, 256
@@ -39,11 +39,10 @@ def _odd(data: np.ndarray) -> np.ndarray:
 
 def _tails(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Where one mark that no rule joins to others stands between an ASCII letter and white space or the end of a text: a part of its own."""
-    at = np.flatnonzero(_MARK[data])
+    at = np.flatnonzero(marked(data, _MARK))
     ends = np.zeros(len(data) + 1, bool)
     ends[offs] = True
-    padded = np.append(data, 0x20)
-    at = at[(at > 0) & (ends[at + 1] | WHITE[padded[at + 1]])]
+    at = at[(at > 0) & (ends[at + 1] | WHITE[data[np.minimum(at + 1, len(data) - 1)]])]
     return at[_LETTER[data[at - 1]] & ~ends[at]]
 
 
@@ -84,16 +83,18 @@ class Encoder:
 
     def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """The number of each part, or -1."""
-        found = np.full(len(key), -1, np.int32)
         mask = np.uint64(len(self.keys) - 1)
-        slot, todo = (key & mask).view(np.int64), None
-        while len(slot):
-            there = self.keys[slot]
-            same = (there == key) & (self.checks[slot] == check)
-            hit, on = np.flatnonzero(same), np.flatnonzero(~same & (there != 0))
-            found[hit if todo is None else todo[hit]] = self.number[slot[hit]]
-            todo = on if todo is None else todo[on]
-            key, check, slot = key[on], check[on], (slot[on] + 1) & np.int64(mask)
+        slot, found = (key & mask).view(np.int64), None
+        while found is None or len(slot):
+            there = self.keys.take(slot)
+            same = (there == key) & (self.checks.take(slot) == check)
+            number = np.where(same, self.number.take(slot), np.int32(-1))
+            if found is None:  # most are in their first place
+                found, todo = number, np.arange(len(key))
+            else:
+                found[todo] = number
+            on = np.flatnonzero(~same & (there != 0))
+            key, check, slot, todo = key[on], check[on], (slot[on] + 1) & np.int64(mask), todo[on]
         return found
 
     def _place(self, key: np.ndarray, check: np.ndarray, number: np.ndarray) -> None:
@@ -153,10 +154,14 @@ class Encoder:
                 self._put(key[k], check[k], *encode([raw[a:b] for a, b in zip(start[k].tolist(), end[k].tolist())]))
 
     def _of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = self.start[n]
-        size = self.start[n + 1] - first
+        n = n.astype(np.int64)
+        first = self.start.take(n)
+        n += 1
+        size = self.start.take(n) - first
         ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)], size
+        at = np.repeat(first - ends + size, size)
+        at += np.arange(len(at))
+        return self.flat.take(at), size
 
     def _parts(self, data: np.ndarray, offs: np.ndarray):
         """``start, end, document, key, check, plain`` of each part; ``plain`` parts may be joined."""
