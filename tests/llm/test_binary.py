@@ -13,6 +13,7 @@ from wattframe.llm.texts import marked
 from wattframe.llm.texts import slabs as tokens_slabs
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+ENCODER = tokens.Encoder(PATH, spaced=True)
 
 
 @settings(max_examples=60, deadline=None)
@@ -147,5 +148,23 @@ def test_marks_at_every_end(monkeypatch):
         for _ in range(2):
             ids, offs = enc.encode(texts)
             assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    enc = tokens.Encoder(PATH, spaced=True)
+    monkeypatch.setattr(enc, "_one_by_one", None)
+    assert enc.encode([" word\nnext word"])[0].tolist() == lib.encode(" word\nnext word", add_special_tokens=False).ids
     data = np.arange(256, dtype=np.uint8)[::-1]
     assert (marked(data, tokens.WHITE) == tokens.WHITE[data]).all() and len(marked(data[:0], tokens.WHITE)) == 0
+
+
+def test_runs_of_marks_are_parts(monkeypatch):
+    enc, learnt, learn = tokens.Encoder(PATH, spaced=True), [], tokens.Encoder._learn
+    monkeypatch.setattr(tokens.Encoder, "_learn", lambda self, data, start, end, *rest: learnt.extend(data[a:b].tobytes() for a, b in zip(start, end)) or learn(self, data, start, end, *rest))
+    enc.encode([" word word*** word&&& café café### word.*** 3×!!"])
+    assert sorted(learnt) == sorted([b" word", b"***", b"&&&", " café".encode(), b"###", b" word.***", " 3×!!".encode()])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "Be", "é", "Ét", "×", "÷", "Ł", "中", "7", "'", "'s", "'re", "!", "!!", "***", "###", ".", ",", "_", "<|endoftext|>", "&&&", " ", " ", " ", "  ", "\n", "\n", "\t", "\r\n", "\x0b", "\u00a0", "\x1f", "\x00", "the", "word"]), max_size=25).map("".join), max_size=6))
+def test_ids_are_the_librarys(texts):
+    lib = ENCODER.tokenizer
+    ids, offs = ENCODER.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]

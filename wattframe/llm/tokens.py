@@ -1,7 +1,7 @@
 """Token ids of whole texts, with the ids of their parts remembered by each worker.
 
 A byte-level or word-level BPE never merges across the boundary between a word and the white space after it, so a text's
-ids are the ids of its parts in order; nor across the one between a letter and a full stop or comma. Parts are found and hashed as arrays over the bytes of many texts, looked up in an
+ids are the ids of its parts in order; nor across the one between a letter and a full stop or comma (with byte-level ones, a run of one mark). Parts are found and hashed as arrays over the bytes of many texts, looked up in an
 open-addressing table of 64-bit hashes (beside the length, first and last byte of the part), and only new parts go to the
 tokenizers library, hundreds joined in one call. The table is bounded: when it is full, only parts stay that have come back since they were learnt or it was last full. With byte-level
 vocabularies a text that holds white space beyond ASCII is encoded whole, because there a run of mixed white space is not
@@ -23,7 +23,7 @@ from wattframe.llm.texts import LOWER, WHITE, marked, mix, slabs, words
 #: Parts that a worker remembers (about 50 bytes each), and how many are joined for one call of the library.
 REMEMBERED, JOINED = 1 << 20, 256
 _END = "</w>"
-_MARK, _LETTER = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", bytes(range(65, 91)) + bytes(range(97, 123))))
+_MARK, _LETTER, _RUN = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", bytes(range(65, 91)) + bytes(range(97, 123)), b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[tuple[str, bool], Encoder] = {}
 
@@ -46,6 +46,25 @@ def _tails(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return at[_LETTER[data[at - 1]] & ~ends[at]]
 
 
+def _closing_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(start, end)`` of runs of one ASCII mark, repeated, between a Latin letter and white space or the end of a text: parts of their own in byte-level vocabularies.
+
+    These cut between letters and other characters, but for the apostrophe, and nowhere in a run of marks; runs of different marks stay with their word.
+    """
+    at = np.flatnonzero(marked(data, _RUN))
+    if not len(at):
+        return at, at
+    ends = np.zeros(len(data) + 1, bool)
+    ends[offs] = True
+    same = (at[1:] == at[:-1] + 1) & (data[at[1:]] == data[at[:-1]]) & ~ends[at[1:]]
+    cut = np.flatnonzero(~same) + 1
+    start, end = at[np.append(0, cut)], at[np.append(cut, len(at)) - 1] + 1
+    before = data[np.maximum(start - 1, 0)]
+    letter = _LETTER[before] | ((data[np.maximum(start - 2, 0)] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
+    keep = letter & ~ends[start] & (ends[end] | WHITE[data[np.minimum(end, len(data) - 1)]])
+    return start[keep], end[keep]
+
+
 class Encoder:
     """``spaced``: the white space before a word belongs to its part (byte-level vocabularies); else it is dropped."""
 
@@ -165,15 +184,19 @@ class Encoder:
 
     def _parts(self, data: np.ndarray, offs: np.ndarray):
         """``start, end, document, key, check, plain`` of each part; ``plain`` parts may be joined."""
-        tail = _tails(data, offs)
-        bare = data.copy()
-        bare[tail] = 0x20
+        if self.spaced:
+            tail, close = _closing_runs(data, offs)
+        else:
+            tail = _tails(data, offs)
+            close = tail + 1
+        bare, long = data.copy(), close - tail
+        bare[np.arange(long.sum()) + np.repeat(tail - np.cumsum(long) + long, long)] = 0x20
         start, end, doc, key = words(bare, offs, folded=not self.spaced)
         if len(tail):
             order = np.argsort(np.concatenate([start, tail]), kind="stable")
-            start, end = np.concatenate([start, tail])[order], np.concatenate([end, tail + 1])[order]
+            start, end = np.concatenate([start, tail])[order], np.concatenate([end, close])[order]
             doc = np.concatenate([doc, np.searchsorted(offs, tail, "right") - 1])[order]
-            key = np.concatenate([key, mix(data[tail].astype(np.uint64) + np.uint64(1 << 40))])[order]
+            key = np.concatenate([key, mix(data[tail] + (long.astype(np.uint64) << np.uint64(8)) + np.uint64(1 << 40))])[order]
         first = data[start].astype(np.uint32)
         last = data[end - 1].astype(np.uint32)
         if not self.spaced:
@@ -195,7 +218,7 @@ class Encoder:
             white = np.zeros(len(gap), np.uint64)
             some = np.flatnonzero(gap)
             white[some] = data[begin[some]].astype(np.uint64) + np.uint64(1)
-            plain = (gap == 1) & (white == 0x21) & (end > start)
+            plain = (gap == 1) & ((white == 0x21) | (white == 0x0B)) & (end > start)  # after one space or one line feed
             for k in np.flatnonzero(gap > 1):
                 white[k] = np.frombuffer(hashlib.blake2b(data[begin[k] : start[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
             key = mix(key + white * _STEP)
