@@ -1,10 +1,14 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wattframe.llm import op07_suffix as op
+from wattframe.llm import texts as texts_
+from wattframe.llm import tokens
 
 
 def brute(texts, length):
@@ -81,3 +85,52 @@ def test_cut_texts_keeps_columns_and_characters(spark):
     out = {r.doc_id: r for r in op.cut_texts(spark.createDataFrame(rows, "doc_id long, text string, rid string, n_chars long")).collect()}
     assert out[1].text == "début  fin" and out[2].text == "!" and out[3].text is None and out[4].text == "short"
     assert out[1].n_chars == 10 and out[3].n_chars == 5 and out[1].rid == "a"
+
+
+def test_memory_of_one_batch_of_contexts():
+    """Temporary arrays of a sort of a full batch are a small multiple of its bytes."""
+    rnd, n, k = np.random.default_rng(2), op.BATCH, op.GRAM
+    width = 400 - k
+    pieces = pa.array([x.tobytes() for x in rnd.integers(97, 123, (n, width), np.uint8)], pa.binary())
+    number = pa.array(np.arange(n))
+    columns = {"h": number, "ctx": number, "copies": number, "left": pa.array(np.zeros(n, np.int32)), "piece": pieces, "rid": pa.array([b"x" * 16] * n, pa.binary()), "pos": number, "slab": number}
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    tracemalloc.start()
+    try:
+        assert sum(map(len, op._sorted_groups(iter([batch]), 200, k))) == 0
+        assert tracemalloc.get_traced_memory()[1] < 6 * n * width
+    finally:
+        tracemalloc.stop()
+
+
+def test_matrix_by_slabs():
+    rnd = np.random.default_rng(4)
+    left = rnd.integers(0, 150, 3000)
+    pieces = [rnd.integers(0, 256, rnd.integers(0, 351 - a), np.uint8).tobytes() for a in left]
+    rows, right = op._matrix(left, pa.array(pieces, pa.binary()), 200, 50)
+    want = np.full((3000, 350), 255, np.uint8)
+    for row, a, p in zip(want, left, pieces):
+        row[a : a + len(p)] = np.frombuffer(p, np.uint8)
+    assert (rows == want).all() and (right == left + [len(p) for p in pieces]).all()
+
+
+def test_workers_drop_what_another_operator_left(monkeypatch):
+    def task(batches):
+        yield len(tokens._loaded), len(texts_._powers[0])
+
+    def of(module):
+        monkeypatch.setattr(task, "__module__", module)
+        return next(texts_.tidy(task)(iter(())))
+
+    of("packing")
+    monkeypatch.setitem(tokens._loaded, ("vocabulary", False), None)
+    texts_.powers(10)
+    assert of("packing")[0] == 1 and of("packing")[1] > 0
+    assert of("suffix") == (0, 0)
+
+
+def test_rows_with_and_without_spans(spark):
+    rows = spark.range(100).select(op.F.col("id").alias("doc_id"), op.F.lit(b"x").alias("body"), op.F.col("id").cast("string").cast("binary").alias("rid"))
+
+    hit, rest = op._divided(rows, rows.where("doc_id < 7").select("rid"))
+    assert hit.count() == 7 and rest.count() == 93

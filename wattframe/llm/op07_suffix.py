@@ -207,10 +207,10 @@ def _matrix(left: np.ndarray, pieces: pa.Array, length: int, k: int) -> tuple[np
     width = 2 * length - k
     rows = np.full((len(left), width), 255, np.uint8)
     right = np.zeros(len(left), np.int64)
-    for lo, hi, data, offs in slabs(pieces, 1 << 24):
+    flat = rows.reshape(-1)
+    for lo, hi, data, offs in slabs(pieces, 1 << 18):  # places take eight times the bytes that they are of
         size = np.diff(offs)
-        r = np.repeat(np.arange(lo, hi), size)
-        rows[r, np.arange(len(data)) - np.repeat(offs[:-1] - left[lo:hi], size)] = data
+        flat[np.arange(len(data)) + np.repeat(np.arange(lo, hi) * width + left[lo:hi] - offs[:-1], size)] = data
         right[lo:hi] = left[lo:hi] + size
     return rows, right
 
@@ -224,7 +224,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, k: int) -> It
         rows, right = _matrix(left, table.column("piece").combine_chunks(), length, k)
         first, last = sort_columns(rows, left, right, h, length, k)
         hit = np.flatnonzero(last >= 0)
-        kept = table.take(pa.array(hit)).combine_chunks()
+        kept = table.select(_PLACE).take(pa.array(hit)).combine_chunks()
         return pa.RecordBatch.from_arrays([*(kept.column(x).combine_chunks() for x in _PLACE), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], [*_PLACE, "first", "last"])
 
     for batch in batches:
@@ -382,12 +382,10 @@ def _divided(rows: DataFrame, spans: DataFrame, rid: str = "rid") -> tuple[DataF
     """Rows whose ``rid`` may have spans, and rows that surely have none; only the first are shuffled with their texts."""
     table = _bitmap(spans, rid)
 
-    @F.pandas_udf("boolean")
-    def may(bit):
-        import pandas as pd
-
-        b = bit.to_numpy()
-        return pd.Series(((table[b >> 3] >> (b & 7)) & 1).astype(bool))
+    @F.arrow_udf("boolean")  # without pandas, which a worker would hold from then on
+    def may(bit: pa.Array) -> pa.Array:
+        b = bit.to_numpy(zero_copy_only=False)
+        return pa.array(((table[b >> 3] >> (b & 7)) & 1).astype(bool))
 
     hit = may(F.pmod(F.xxhash64(rid), F.lit(FILTER_BITS)).cast("int"))
     return rows.where(hit), rows.where(~hit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +46,36 @@ def small_batches(df):
     return df
 
 
+def _forget_powers() -> None:
+    _powers[:] = [np.zeros(0, np.uint64)] * 2
+
+
+#: What empties the tables that a worker keeps between tasks, and the module whose tasks they are kept for.
+_kept: list[Callable[[], object]] = [_forget_powers]
+_kept_for: list[str] = [""]
+
+
+def kept_between_tasks(empty: Callable[[], object]) -> None:
+    """Have ``empty`` called where a task of another operator begins in this process."""
+    _kept.append(empty)
+
+
+def begin(owner: str) -> None:
+    """A task of the module ``owner`` begins: tables that tasks of another one have left go."""
+    if _kept_for[0] not in ("", owner):
+        for empty in _kept:
+            empty()
+    _kept_for[0] = owner
+
+
 def tidy(f):
-    """The map ``f`` over Arrow batches, giving freed memory back when a task ends: idle workers stay small."""
+    """The map ``f`` over Arrow batches, giving freed memory back when a task ends, and what another operator has left when it begins: idle workers stay small."""
+    owner = f.__module__
 
     def run(batches):
         import ctypes
 
+        begin(owner)
         try:
             yield from f(batches)
         finally:

@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from wattframe.llm.texts import LOWER, WHITE, marked, mix, slabs, words
+from wattframe.llm.texts import LOWER, WHITE, kept_between_tasks, marked, mix, slabs, words
 
 #: Parts that a worker remembers (about 50 bytes each), and how many are joined for one call of the library.
 REMEMBERED, JOINED = 1 << 20, 256
@@ -26,6 +26,7 @@ _END = "</w>"
 _MARK, _LETTER, _RUN = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", bytes(range(65, 91)) + bytes(range(97, 123)), b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[tuple[str, bool], Encoder] = {}
+kept_between_tasks(_loaded.clear)
 
 
 def _odd(data: np.ndarray) -> np.ndarray:
